@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import decontamination, mixing, quality_rules, sharding, token_files
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_token_files": token_files.op4_token_files,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
+    "op10_decontamination": decontamination.OP10_SQL,
 }
