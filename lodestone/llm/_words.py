@@ -111,4 +111,5 @@ def runs(h: np.ndarray, size: int) -> np.ndarray:
 
 def whole(h: np.ndarray) -> np.uint64:
     """A hash of a sequence of under 64 words."""
-    return mix(np.array([(h * PLACES[: len(h)]).sum() + U(len(h)) * U(0xA0761D6478BD642F)], U))[0]
+    last = U(len(h) * 0xA0761D6478BD642F % 2**64)
+    return mix(np.append(h * PLACES[: len(h)], last).sum(keepdims=True))[0]

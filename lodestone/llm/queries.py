@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, sharding, token_files
+from . import decontamination, mixing, near_duplicates, quality_rules, sharding, token_files
 
 QUERIES = {
+    "op1_near_duplicates": near_duplicates.op1_near_duplicates,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_token_files": token_files.op4_token_files,
     "op5_source_mixing": mixing.op5_source_mixing,
