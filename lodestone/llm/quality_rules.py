@@ -57,8 +57,8 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces the text by the measurements n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_bars."""
-    own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bars")
+    """Replaces the text by the measurements n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_bars; measured_row numbers the rows. A filter on a verdict that also names measured_row isn't pushed below the measurements, which would be made again for it."""
+    own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bars", "measured_row")
     df = df.drop(*[c for c in df.columns if c in own and c != text])
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
@@ -74,6 +74,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_lines"),
         _repeat_words(F.col("_words")).alias("n_repeat_words"),
         bars.alias("n_bars"),
+        F.monotonically_increasing_id().alias("measured_row"),
     )
     return df.withColumns({"n_lines": F.col("_lines.n"), "n_dup_lines": F.col("_lines.dup")}).drop("_lines")
 
