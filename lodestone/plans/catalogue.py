@@ -1,6 +1,437 @@
-"""The registered queries, and their SQL."""
+"""The registered queries over the driver's tables, each with the SQL that gives the same rows.
+
+Bindings: a document's tenant is its source, its folder lang/source, its state follows from its labels; vectors are points whose tenant is their label; conversations hold role messages; benchmark items are expected answers.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import intent, text
+from ..operators import evaluation, metadata, retrieval
+from ..streaming import ingest
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    state = F.when(F.col("toxic") == 1, "failed").when(F.col("quality") == 0, "processing").otherwise("ready")
+    df = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    return df.select(
+        "doc_id", "text", F.col("source").alias("kb"), F.concat_ws("/", "lang", "source").alias("folder"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "n_chars", state.alias("status")
+    )
+
+
+DOCS = """docs as (select d.doc_id, d.text, d.source as kb, d.lang || '/' || d.source as folder, 'doc_' || d.doc_id || '.txt' as file_name, d.n_chars,
+    case when l.toxic = 1 then 'failed' when l.quality = 0 then 'processing' else 'ready' end as status from documents d left join labels l using (doc_id))"""
+NORMAL = r"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+CHUNKS = f"""t as (select doc_id, {NORMAL} as t from documents), chunks as (select doc_id, cast(i as int) as chunk_index, substring(t, cast(350 * i + 1 as bigint), 400) as text
+    from (select doc_id, t, unnest(range(0, 1 + greatest(0, cast(ceil((length(t) - 400) / 350.0) as bigint)))) as i from t where length(t) > 0))"""
+METRIC = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+COS = "round(list_cosine_similarity({}::double[], {}::double[]), 6)"
+
+
+@query(f"""select p.vec_id, {COS.format("p.embedding", "q.embedding")} as score from embeddings p join embeddings q on p.label = q.label where q.vec_id = 0 order by score desc, vec_id limit 10""")
+def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of the question's tenant."""
+    points = read(spark, d, "embeddings")
+    question = points.where("vec_id = 0").select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("qvec"))
+    return points.join(F.broadcast(question), "label").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+
+
+TOP = f"""hits as (select * from (select q.vec_id as question_id, p.vec_id, {COS.format("p.embedding", "q.embedding")} as score, row_number() over (partition by q.vec_id order by {COS.format("p.embedding", "q.embedding")} desc, p.vec_id) as rank
+    from embeddings p join embeddings q on p.label = q.label where q.vec_id < 20) where rank <= 10)"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    points = read(spark, d, "embeddings")
+    questions = points.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("qvec"))
+    return retrieval.top_k(points, questions, 10, "label").select("question_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {TOP} select question_id, vec_id, score, rank, cast(vec_id // 3 as bigint) as document_id from (select *, row_number() over (partition by question_id, vec_id // 3 order by rank) as f from hits) where f = 1")
+def topk_per_question_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Ten hits for each of twenty questions; one citation for each document."""
+    return retrieval.dedup_citations(_hits(spark, d).withColumn("document_id", F.floor(F.col("vec_id") / 3)), "question_id", F.col("document_id"))
+
+
+@query(f"with {TOP} select question_id, count(*) as n_hits, count(distinct vec_id // 3) as n_documents, string_agg(cast(vec_id as varchar), ',' order by rank) as chunk_ids from hits group by question_id")
+def context_document_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and distinct documents in each question's context, with the hit ids in order."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",")
+    return _hits(spark, d).groupBy("question_id").agg(F.count("*").alias("n_hits"), F.countDistinct(F.floor(F.col("vec_id") / 3)).alias("n_documents"), ordered.alias("chunk_ids"))
+
+
+@query(f"with {CHUNKS} select doc_id, chunk_index, length(text) as n, sha256(text) as hash from chunks")
+def chunk_fixed_400_50(spark: SparkSession, d: str) -> DataFrame:
+    c = metadata.chunks(read(spark, d, "documents"), "doc_id", text.normalise_source(F.col("text")))
+    return c.select("doc_id", "chunk_index", F.length("text").cast("long").alias("n"), text.content_hash(F.col("text")).alias("hash"))
+
+
+@query("select doc_id, sha256(text) as hash, count(*) over (partition by sha256(text)) as n_same from documents")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    df = read(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+    return df.withColumn("n_same", F.count("*").over(W.partitionBy("hash")))
+
+
+@query(f"with {DOCS} select doc_id, kb, file_name from (select *, row_number() over (partition by kb, sha256(text) order by doc_id) as r from docs where status <> 'failed') where r = 1")
+def duplicate_policy_content(spark: SparkSession, d: str) -> DataFrame:
+    """The first document of each content in its tenant; failed ones don't count."""
+    df = docs(spark, d).where("status <> 'failed'").withColumn("hash", text.content_hash(F.col("text"))).drop("text")
+    return df.withColumn("_f", metadata.first_of(df, ["kb", "hash"], "doc_id")).where("_f").select("doc_id", "kb", "file_name")
+
+
+@query(f"with {DOCS}, p as (select *, row_number() over (partition by kb, folder, n_chars % 7 order by doc_id) as r from docs where status <> 'failed'), c as (select *, row_number() over (partition by kb, sha256(text) order by doc_id) as s from p where r = 1) select doc_id, kb from c where s = 1")
+def duplicate_policy_path(spark: SparkSession, d: str) -> DataFrame:
+    """A taken path is refused before equal content is looked at."""
+    df = docs(spark, d).where("status <> 'failed'").select("doc_id", "kb", "folder", (F.col("n_chars") % 7).alias("name"), text.content_hash(F.col("text")).alias("hash"))
+    df = df.withColumn("_p", metadata.first_of(df, ["kb", "folder", "name"], "doc_id")).where("_p")
+    return df.withColumn("_c", metadata.first_of(df, ["kb", "hash"], "doc_id")).where("_c").select("doc_id", "kb")
+
+
+@query()
+def point_id_uuid5(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", text.point_id(F.concat(F.col("doc_id").cast("string"), F.lit(":0"))).alias("point_id"))
+
+
+@query(f"with {DOCS} select doc_id, sha256('完整路径: ' || folder || '/' || file_name || chr(10) || '文件名: ' || file_name || chr(10) || '文件后缀: .txt' || chr(10) || '内容:' || chr(10) || text) as hash from docs")
+def embedding_input_text(spark: SparkSession, d: str) -> DataFrame:
+    """What is embedded: path, name, suffix and content."""
+    suffix = F.coalesce(F.nullif(text.extension(F.col("file_name")), F.lit("")), F.lit("无后缀"))
+    made = F.concat(F.lit("完整路径: "), "folder", F.lit("/"), "file_name", F.lit("\n文件名: "), "file_name", F.lit("\n文件后缀: "), suffix, F.lit("\n内容:\n"), "text")
+    return docs(spark, d).select("doc_id", text.content_hash(made).alias("hash"))
+
+
+ROLLUP = f"""{DOCS}, up as (select kb, status, 1 + n_chars // 400 as chunk_count, unnest([split_part(folder, '/', 1), folder]) as path from docs),
+rollup as (select kb, path, count(*) as n, cast(sum(chunk_count) as bigint) as chunks, count_if(status = 'processing') as processing, count_if(status = 'ready') as ready, count_if(status = 'failed') as failed from up group by kb, path)"""
+
+
+def _rollup(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.folder_rollup(docs(spark, d).withColumn("chunk_count", 1 + F.floor(F.col("n_chars") / 400)))
+
+
+@query(f"with {ROLLUP} select kb, path, n, chunks, cast(processing as bigint) as processing, cast(ready as bigint) as ready, cast(failed as bigint) as failed from rollup")
+def folder_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _rollup(spark, d)
+
+
+@query(f"with {ROLLUP} select kb, path, case when processing > 0 then 'processing' when failed > 0 then 'failed' else 'ready' end as state, cast(round(100.0 * ready / n) as bigint) as progress from rollup")
+def folder_status(spark: SparkSession, d: str) -> DataFrame:
+    return _rollup(spark, d).select("kb", "path", metadata.folder_state(F.col("processing"), F.col("failed")).alias("state"), F.round(100.0 * F.col("ready") / F.col("n")).cast("long").alias("progress"))
+
+
+@query(f"with {DOCS}, r as (select * from docs where status = 'ready') select kb, count(distinct folder) + count(distinct split_part(folder, '/', 1)) as n_folders, count(distinct folder || '/' || file_name) as n_files from r group by kb")
+def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
+    ready = docs(spark, d).where("status = 'ready'").select("kb", "folder", "file_name")
+    folders = ready.select("kb", "folder").distinct().select("kb", F.explode(text.ancestors(F.col("folder"))).alias("path")).groupBy("kb").agg(F.countDistinct("path").alias("n_folders"))
+    return folders.join(ready.groupBy("kb").agg(F.countDistinct("folder", "file_name").alias("n_files")), "kb")
+
+
+@query(f"""with {DOCS}, r as (select * from docs where status = 'ready'), f as (select kb, string_agg('- ' || p, chr(10) order by p) as folders from (select distinct kb, unnest([split_part(folder, '/', 1), folder]) as p from r) group by kb),
+g as (select kb, string_agg('- ' || folder || '/' || file_name, chr(10) order by lower(folder || '/' || file_name)) as files from r group by kb)
+select kb, sha256(folders || chr(10) || '[文件]' || chr(10) || files) as hash from f join g using (kb)""")
+def catalog_text(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue of each tenant: folders, then files, without the budget."""
+    ready = docs(spark, d).where("status = 'ready'").select("kb", "folder", F.concat_ws("/", "folder", "file_name").alias("path"))
+    lines = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: F.concat(F.lit("- "), x)), "\n")
+    folders = ready.select("kb", F.explode(text.ancestors(F.col("folder"))).alias("p")).groupBy("kb").agg(lines("p").alias("folders"))
+    files = ready.groupBy("kb").agg(lines("path").alias("files"))
+    return folders.join(files, "kb").select("kb", text.content_hash(F.concat("folders", F.lit("\n[文件]\n"), "files")).alias("hash"))
+
+
+@query(f"with {DOCS} select kb, folder || '/' || file_name as path from docs where status = 'ready' and (folder = 'de' or starts_with(folder, 'de/'))")
+def catalog_subtree_listing(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).where((F.col("status") == "ready") & metadata.in_subtree(F.col("folder"), "de")).select("kb", F.concat_ws("/", "folder", "file_name").alias("path"))
+
+
+@query(f"with {DOCS} select doc_id, folder from docs where contains(lower(file_name || ' ' || folder), 'src1') and contains(lower(file_name || ' ' || folder), 'en/') and contains(lower(file_name || ' ' || folder), '7')")
+def document_multi_term_search(spark: SparkSession, d: str) -> DataFrame:
+    """All terms, in any letter case, anywhere in name and folder."""
+    hay = F.lower(F.concat_ws(" ", "file_name", "folder"))
+    found = F.lit(True)
+    for term in "SRC1 en/ 7".lower().split():
+        found = found & F.contains(hay, F.lit(term))
+    return docs(spark, d).where(found).select("doc_id", "folder")
+
+
+@query(f"with {DOCS} select count(*) as n_all, cast(count_if(contains(lower(folder), 'en/')) as bigint) as n_found, bool_or(status = 'processing') as any_processing from docs")
+def document_count_label(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).agg(F.count("*").alias("n_all"), F.count_if(F.contains(F.lower("folder"), F.lit("en/"))).alias("n_found"), F.bool_or(F.col("status") == "processing").alias("any_processing"))
+
+
+@query("select regexp_extract(url, '^https?://([^/?#]+)', 1) as kind, count(*) as n from pages group by 1 order by n desc, kind limit 8")
+def skipped_type_top8(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(8)
+
+
+@query("select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations where role in ('user', 'assistant') and text <> '') where r <= 4")
+def history_last_n(spark: SparkSession, d: str) -> DataFrame:
+    df = read(spark, d, "conversations").where(F.col("role").isin("user", "assistant") & (F.col("text") != ""))
+    return retrieval.last_n(df, "conv_id", "turn", 4).select("conv_id", "turn", "role", "text")
+
+
+@query("select conv_id, count(*) as message_count, max(turn) as updated, arg_max(text, turn) filter (where role = 'user') as last_question, substring(arg_min(text, turn) filter (where role = 'user'), 1, 50) as title from conversations group by conv_id")
+def conversation_list(spark: SparkSession, d: str) -> DataFrame:
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("updated"), F.max_by("text", user).alias("last_question"), F.substring(F.min_by("text", user), 1, 50).alias("title"))
+
+
+@query("""with t as (select conv_id, turn // 2 as id, max(case when role = 'user' then text end) as q, max(case when role = 'assistant' then text end) as a from conversations group by 1, 2)
+select conv_id, cast(id as varchar) || ':user' as id, 'user' as role, q as content from t union all select conv_id, cast(id as varchar) || ':assistant', 'assistant', a from t""")
+def messages_explode_roles(spark: SparkSession, d: str) -> DataFrame:
+    """A turn with question and answer as two role messages."""
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
+    turns = read(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("n")).agg(of("user").alias("q"), of("assistant").alias("a"))
+    message = lambda role, c: F.struct(F.concat(F.col("n").cast("string"), F.lit(f":{role}")).alias("id"), F.lit(role).alias("role"), F.col(c).alias("content"))
+    return turns.select("conv_id", F.explode(F.array(message("user", "q"), message("assistant", "a"))).alias("m")).select("conv_id", "m.*")
+
+
+@query("""with c as (select conv_id, turn, text, length(role) + 3 as h, coalesce(sum(length(role) + 3 + length(text) + 2) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as spent from conversations)
+select conv_id, turn, substring(text, 1, cast(least(length(text), 300 - spent - h - 2) as bigint)) as text from c where 300 - spent - h - 2 > 0""")
+def attachment_budget(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.within_budget(read(spark, d, "conversations"), "conv_id", "turn", "text", F.concat(F.lit("["), "role", F.lit("] ")), 300).select("conv_id", "turn", "text")
+
+
+@query(f"""with {TOP}, {DOCS} select question_id, sha256(string_agg('[完整路径] ' || folder || '/' || file_name || chr(10) || '[文件名] ' || file_name || chr(10) || '[页码] 未知' || chr(10) || '[内容] ' || text, chr(10) || chr(10) order by rank)) as hash
+from hits join docs on docs.doc_id = hits.vec_id % 200 group by question_id""")
+def context_format(spark: SparkSession, d: str) -> DataFrame:
+    """The context of each question: four labelled lines for each hit, in rank order."""
+    hits = _hits(spark, d).withColumn("doc_id", F.col("vec_id") % 200).join(docs(spark, d), "doc_id")
+    path = text.file_path(F.lit(None).cast("string"), F.col("folder"), F.col("file_name"), F.col("file_name"))
+    part = F.concat(F.lit("[完整路径] "), path, F.lit("\n[文件名] "), "file_name", F.lit("\n[页码] 未知\n[内容] "), "text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n")
+    return hits.groupBy("question_id").agg(text.content_hash(joined).alias("hash"))
+
+
+@query(f"with {DOCS} select n.n_name as owner, kb, count(*) as n from docs join nation n on n.n_nationkey = cast(substring(kb, 4) as int) where n.n_regionkey = 1 group by all")
+def owner_scoped_list(spark: SparkSession, d: str) -> DataFrame:
+    """Tenants of one owner's region with their documents."""
+    nation = read(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("owner"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("kb"))
+    return docs(spark, d).groupBy("kb").agg(F.count("*").alias("n")).join(nation, "kb").select("owner", "kb", "n")
+
+
+@query(f"with {CHUNKS}, new as (select doc_id, chunk_index, 'anew ' || text as text from chunks where doc_id % 3 = 0 and chunk_index < 2) select doc_id, chunk_index, sha256(text) as hash from (select * from chunks where doc_id % 3 <> 0 union all select * from new)")
+def replace_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the documents is parsed anew; all their old chunks go."""
+    old = metadata.chunks(read(spark, d, "documents"), "doc_id", text.normalise_source(F.col("text")))
+    new = old.where("doc_id % 3 = 0 and chunk_index < 2").withColumn("text", F.concat(F.lit("anew "), "text"))
+    return metadata.replace_rows(old, new, "doc_id").select("doc_id", "chunk_index", text.content_hash(F.col("text")).alias("hash"))
+
+
+@query(f"with {DOCS} select doc_id, folder from docs where not (folder = 'fr' or starts_with(folder, 'fr/'))")
+def delete_subtree_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).where(~metadata.in_subtree(F.col("folder"), "fr")).select("doc_id", "folder")
+
+
+@query("select vec_id, case when vec_id % 5 = 0 then 100 + label else label end as label from embeddings union all select -vec_id - 1, label from embeddings where vec_id % 50 = 0")
+def upsert_points(spark: SparkSession, d: str) -> DataFrame:
+    old = read(spark, d, "embeddings").select("vec_id", "label")
+    new = old.where("vec_id % 5 = 0").withColumn("label", F.col("label") + 100).union(old.where("vec_id % 50 = 0").select(-F.col("vec_id") - 1, "label"))
+    return metadata.upsert(old, new, "vec_id")
+
+
+@query("select 'legacy-' || md5(cast(user_id as varchar)) as conversation_id, min(ts) as created_at, max(ts) as updated_at from events where user_id % 2 = 0 group by user_id")
+def legacy_conversation_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation for each tenant that has messages but none yet."""
+    e = read(spark, d, "events")
+    existing = e.where("user_id % 2 <> 0").select("user_id").distinct()
+    made = e.groupBy("user_id").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at")).join(existing, "user_id", "left_anti")
+    return made.select(F.concat(F.lit("legacy-"), F.md5(F.col("user_id").cast("string").cast("binary"))).alias("conversation_id"), "created_at", "updated_at")
+
+
+@query("select user_id, arg_max(event_type, {'a': ts, 'b': event_id}) as stage, count(*) as n_events from events group by user_id")
+def latest_stage(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.latest_stage(read(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", "stage", "n_events")
+
+
+@query(f"with {DOCS} select kb, cast(count_if(status = 'ready' and n_chars > 200) as bigint) as synced, cast(count_if(status <> 'ready') as bigint) as skipped, cast(count_if(status = 'ready' and n_chars <= 200) as bigint) as failed from docs group by kb")
+def resync_counts(spark: SparkSession, d: str) -> DataFrame:
+    ready = F.col("status") == "ready"
+    return docs(spark, d).groupBy("kb").agg(F.count_if(ready & (F.col("n_chars") > 200)).alias("synced"), F.count_if(~ready).alias("skipped"), F.count_if(ready & (F.col("n_chars") <= 200)).alias("failed"))
+
+
+@query()
+def export_payload_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each document and its chunks as one JSON payload."""
+    c = metadata.chunks(read(spark, d, "documents"), "doc_id", text.normalise_source(F.col("text")))
+    listed = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("chunks"))
+    return docs(spark, d).select("doc_id", "file_name", "folder").join(listed, "doc_id").select("doc_id", F.to_json(F.struct("doc_id", "file_name", "folder", "chunks")).alias("payload"))
+
+
+QUESTIONS = ["who are you", "What model are you?", "list all files", "show the documents in the folder", "你是什么模型", "文件夹有哪些文件", "总结这个文件的主要内容", "能否找到这个文件", "what is the permeability", "列出所有文档", "你好"]
+DECISIONS = ["RETRIEVE", "SKIP", '{"decision": "SKIP"}', '{"decision": "RETRIEVE"}', '```json\n{"decision": "SKIP"}\n```', '{"decision": "SKIP"', "skip it", "", "skip"]
+ANSWERS = ["知识库中无相关内容。", "没有找到任何关于此事的记录", "The answer is 42", "未找到 相关内容", ""]
+
+
+def _values(rows: list[str]) -> str:
+    quoted = ["('" + r.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for r in rows]
+    return "(values " + ", ".join(quoted) + ") as v(x)"
+
+
+def _any(patterns) -> str:
+    return "regexp_matches(x, '(?i)" + "|".join(f"(?:{p})" for p in patterns) + "')"
+
+
+INVENTORY = f"({_any(intent.INVENTORY)} and not {_any(intent.CONTENT_ACTIONS)})"
+
+
+@query(f"select x, {_any(intent.IDENTITY)} as identity, {_any(intent.CATALOG)} as catalog, {INVENTORY} as inventory, {_any(intent.LOOKUP)} as lookup from {_values(QUESTIONS)}")
+def intent_flags(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("x")
+    return spark.createDataFrame([(q,) for q in QUESTIONS], "x string").select("x", intent.is_identity(x).alias("identity"), intent.needs_catalog(x).alias("catalog"), intent.is_inventory(x).alias("inventory"), intent.is_file_lookup(x).alias("lookup"))
+
+
+@query(f"select x, case when regexp_matches(x, '^SKIP$|^skip$|\"SKIP\"') then false else true end as retrieve from {_values(DECISIONS)}")
+def decision_parser(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in DECISIONS], "x string").select("x", intent.decision_retrieves(F.col("x")).alias("retrieve"))
+
+
+@query(f"""select c.conv_id, x, case when {_any(intent.IDENTITY)} then 'identity' when {INVENTORY} then 'catalog_answer' when conv_id % 3 = 0 then 'context' when {_any(intent.CATALOG)} then 'catalog_only' when conv_id % 3 = 1 and conv_id % 2 <> 0 then 'no_content' when conv_id % 2 = 0 then 'attachment' else 'history' end as route
+from (select distinct conv_id from conversations) c, {_values(QUESTIONS)}""")
+def answer_route(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.explode(F.array(*[F.lit(q) for q in QUESTIONS])).alias("x")
+    df = read(spark, d, "conversations").select("conv_id").distinct().select("conv_id", asked)
+    id_ = F.col("conv_id")
+    return df.select("conv_id", "x", intent.answer_route(F.col("x"), id_ % 3 == 0, id_ % 3 == 1, id_ % 2 == 0).alias("route"))
+
+
+@query(f"select x, regexp_matches(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '{'|'.join(intent.REFUSALS)}') as refused from {_values(ANSWERS)}")
+def refusal_flag(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(a,) for a in ANSWERS], "x string").select("x", intent.is_refusal(F.col("x")).alias("refused"))
+
+
+PAIRS = f"n as (select count(*) as n from benchmark), pairs as (select d.doc_id, {METRIC.format('b.text')} as expected, {METRIC.format('d.text')} as answer, b.text as item from documents d, n join benchmark b on b.item_id = d.doc_id % n.n)"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "benchmark")
+    n = items.count()
+    left = read(spark, d, "documents").select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % n).alias("item_id"))
+    return left.join(items, "item_id").select("doc_id", text.metric_text(F.col("text")).alias("expected"), text.metric_text(F.col("t")).alias("answer"), F.col("text").alias("item"))
+
+
+@query(f"""with {PAIRS}, e as (select doc_id, ch, count(*) as n from (select doc_id, unnest(string_split(expected, '')) as ch from pairs) where ch <> '' group by all), a as (select doc_id, ch, count(*) as m from (select doc_id, unnest(string_split(answer, '')) as ch from pairs) where ch <> '' group by all),
+c as (select doc_id, sum(least(n, m)) as common from e join a using (doc_id, ch) group by doc_id) select doc_id, case when length(expected) > 0 and length(answer) > 0 then round(2.0 * cast(coalesce(common, 0) as double) / (length(expected) + length(answer)), 6) else 0.0 end as char_f1 from pairs left join c using (doc_id)""")
+def char_f1(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.char_f1(_pairs(spark, d), "doc_id", "expected", "answer")
+
+
+@query(f"with {PAIRS}, k as (select doc_id, answer, list_filter(list_transform(string_split(item, ' ')[1:5], lambda w: {METRIC.format('w')}), lambda w: w <> '') as ks from pairs) select doc_id, round(cast(len(list_filter(ks, lambda w: contains(answer, w))) as double) / nullif(len(ks), 0), 6) as recall from k")
+def keyword_recall(spark: SparkSession, d: str) -> DataFrame:
+    keywords = F.transform(F.slice(F.split("item", " "), 1, 5), text.metric_text)
+    return _pairs(spark, d).select("doc_id", F.round(evaluation.keyword_recall(keywords, F.col("answer")), 6).alias("recall"))
+
+
+SCORES = "s as (select a.vec_id, round(100 * greatest(0, list_cosine_similarity(a.embedding::double[], b.embedding::double[])), 2) as score from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(other, "vec_id").select("vec_id", F.round(100 * F.greatest(F.lit(0.0), text.cosine(F.col("embedding"), F.col("other"))), 2).alias("score"))
+
+
+@query(f"with {SCORES} select * from s")
+def semantic_score(spark: SparkSession, d: str) -> DataFrame:
+    """The score of answers from two stored vectors."""
+    return _scores(spark, d)
+
+
+RESULTS = f"""{SCORES}, r as (select l.doc_id, l.toxic = 1 as expected_refusal, l.quality = 0 as refused, case when l.doc_id % 4 = 0 then null else l.doc_id % 3 <> 0 end as document_hit, case when l.doc_id % 5 = 0 then null else l.doc_id % 7 <> 0 end as chunk_hit, s.score as answer_score,
+    case when l.doc_id % 11 = 0 then 'failed' end as error from labels l left join s on s.vec_id = l.doc_id),
+p as (select *, expected_refusal = refused as refusal_correct, case when expected_refusal then expected_refusal = refused else expected_refusal = refused and coalesce(document_hit, true) and coalesce(chunk_hit, true) and coalesce(answer_score >= 5, false) end as passed from r)"""
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    ids = lambda n, m: F.when(i % n == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
+    found = lambda m: F.when(i % m != 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("y"), F.lit(None).cast("string")))
+    r = read(spark, d, "labels").join(_scores(spark, d).withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").select(
+        "doc_id", (F.col("toxic") == 1).alias("expected_refusal"), (F.col("quality") == 0).alias("refused"), evaluation.hit(ids(4, 3), found(3), F.lit(True)).alias("document_hit"), evaluation.hit(ids(5, 7), found(7), F.lit(True)).alias("chunk_hit"),
+        F.col("score").alias("answer_score"), F.when(i % 11 == 0, "failed").alias("error"),
+    )
+    c = F.col
+    return r.withColumns({"refusal_correct": c("expected_refusal") == c("refused"), "passed": evaluation.passed(c("expected_refusal"), c("refused"), c("document_hit"), c("chunk_hit"), c("answer_score"), 5.0)})
+
+
+@query(f"with {RESULTS} select doc_id, document_hit, chunk_hit, refusal_correct, passed from p where error is null")
+def score_response(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d).where("error is null").select("doc_id", "document_hit", "chunk_hit", "refusal_correct", "passed")
+
+
+@query(f"""with {RESULTS}, g as (select * from p where error is null) select (select count(*) from p) as sample_count, count(*) as completed_count, (select count(*) from p where error is not null) as error_count, round(avg(passed::int::double), 4) as pass_rate, round(avg(document_hit::int::double), 4) as document_hit_rate,
+round(avg(chunk_hit::int::double), 4) as chunk_hit_rate, round(avg(refusal_correct::int::double), 4) as refusal_accuracy, round(avg(case when not expected_refusal then answer_score end), 4) as average_answer_score from g""")
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.summarise(_results(spark, d))
+
+
+@query("select l.doc_id from labels l where l.doc_id not in (select doc_id from documents where source <> 'src3')")
+def eval_kb_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """Samples whose expected documents aren't in the tenant's."""
+    return read(spark, d, "labels").select("doc_id").join(read(spark, d, "documents").where("source <> 'src3'").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("select cast(e.event_id as bigint) as event_id, greatest(0, least(100, cast(floor(coalesce(value, 0)) as bigint))) as progress from events e")
+def progress_clamp(spark: SparkSession, d: str) -> DataFrame:
+    value = F.floor(F.coalesce("value", F.lit(0.0)))
+    return read(spark, d, "events").select("event_id", F.greatest(F.lit(0).cast("long"), F.least(F.lit(100).cast("long"), value)).alias("progress"))
+
+
+@query("select doc_id, lang || '/' || source || '/doc.TXT' as path, 'txt' as format from documents where length(text) > 0 and length(text) <= 5000")
+def size_and_suffix_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Documents within the size limit under a normalised path, with the format of their name."""
+    raw = F.concat(F.col("lang"), F.lit("\\.\\"), F.col("source"), F.lit("//doc.TXT"))
+    kept = read(spark, d, "documents").where((F.length("text") > 0) & (F.length("text") <= 5000))
+    return kept.select("doc_id", text.normalise_path(raw).alias("path"), F.regexp_replace(text.extension(F.lit("doc.TXT")), r"^\.", "").alias("format"))
+
+
+@query("select user_id, event_type, min(event_id) as event_id from events group by 1, 2")
+def attachment_identity_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The first of attachments with one identity."""
+    return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query()
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    """All text nodes of pages, in batches through the standard parser."""
+    import pandas as pd
+
+    from ..sources.parsers import html_text as extract
+
+    def of(batches):
+        for b in batches:
+            yield pd.DataFrame({"page_id": b["page_id"], "text": [extract(h or "") for h in b["html"]]})
+
+    return read(spark, d, "pages").select("page_id", "html").mapInPandas(of, "page_id long, text string")
+
+
+@query(SQL["latest_stage"])
+def stream_ingest_status(spark: SparkSession, d: str) -> DataFrame:
+    """Stage events through a drained stream, then the last stage of each key."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")
+    import uuid
+
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    events.repartition(4, "user_id").write.parquet(f"{at}/source")
+    ingest.drain(spark, f"{at}/source", "event_id long, ts timestamp, user_id long, event_type string", f"{at}/table", f"{at}/checkpoint", 2)
+    return ingest.latest_stage(spark.read.parquet(f"{at}/table"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", "stage", "n_events")
