@@ -4,17 +4,19 @@ A row of a file is a document: doc_id and its ids, with an end id after them. OR
 
 A null text counts as empty: it has the end id alone. Null doc_ids come first. Rows with equal doc_ids keep to one file, in the order of their ids' checksums. An empty table gives no rows.
 
-Encoding goes by pieces: a text is cut before each lone space between two other characters, where the byte-level splitter of the tokenizer cuts too, and each new piece is encoded by the tokenizer once for a worker. A text with the string of a special token is encoded whole.
+Encoding goes by parts: a text is cut before spaces, where the byte-level splitter of the tokenizer cuts too, and a part that a worker hasn't met is split and encoded by the tokenizer's model. A text in which that could differ (a space between white space, the string of a special token) is encoded whole, and so is a part in scripts on which Unicode versions may differ.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from ._common import documents, new_path
 
 END_ID = 0
-#: Pieces that a worker remembers.
-CACHE = 600_000
+#: Parts, and pieces, that a worker remembers.
+CACHE = 250_000
 STRIPE_BYTES, STRIDE_ROWS = 64 << 20, 1000
 _workers: dict = {}
 
@@ -35,56 +37,86 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class PieceEncoder:
-    """Text to ids, as little-endian 32-bit bytes. Equal to the tokenizer's encoding of the whole text."""
+    """Text to ids, as little-endian 32-bit bytes. Equal to the tokenizer's encoding of the whole text.
+
+    `parts` holds what follows a space, `pieces` what the byte-level splitter makes of a part; each is encoded once while there is room.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out = [parts[0], *[" " + p for p in parts[1:]]]
-        if "" in parts[1:] or any(p and (p[0].isspace() or p[-1].isspace()) for p in parts) or not parts[0]:
-            out = _joined(parts)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.special is not None:
-            odd = {i for i, t in enumerate(texts) if "<|" in t and self.special.search(t)}
-        else:
-            odd = set()
-        cut = [() if i in odd else self.pieces(t) for i, t in enumerate(texts)]
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({p for pieces in cut for p in pieces})
-            for i in range(0, len(new), 4096):
-                for p, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        return [self.whole(t) if i in odd else b"".join([known[p] for p in pieces]) for i, (t, pieces) in enumerate(zip(texts, cut, strict=True))]
-
-
-def _joined(parts: list[str]) -> list[str]:
-    """Pieces of a text where some spaces stand next to white space: those are not cut at."""
-    out, held = [], parts[0]
-    for p in parts[1:]:
-        if held and not held[-1].isspace() and p and not p[0].isspace():
-            out.append(held)
-            held = " " + p
-        else:
-            held += " " + p
-    return [*out, held]
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            letters = piece.replace(" ", SPACE_LETTER) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(self.pieces) < CACHE:
+                self.pieces[piece] = ids
+        return ids
+
+    def part(self, text: str, plain: bool, space: str = "") -> bytes:
+        """plain: PLAIN matches it. Letters are one piece, and a mark after them another; what else there is goes to the splitter."""
+        if plain:
+            if text.isalpha():
+                return self.piece(space + text)
+            if text[-1:] in MARKS and text[:-1].isalpha():
+                return self.piece(space + text[:-1]) + self.piece(text[-1])
+            return b"".join([self.piece(p) for p in SPLIT.findall(space + text)])
+        if PLAIN.fullmatch(text):
+            return self.part(text, True, space)
+        return self.whole(space + text)
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.special is not None and "<|" in text and self.special.search(text):
+            return self.whole(text)
+        if " \n" in text or "\n " in text or "  " in text or OTHER_SPACE.search(text) or text[-1] == " ":
+            if ODD_SPACE.search(text):
+                return self.whole(text)
+        first, *rest = text.split(" ")
+        plain = PLAIN.fullmatch(text) is not None
+        known = self.parts
+        ids = list(map(known.get, rest))
+        if None in ids:
+            for i, (p, found) in enumerate(zip(rest, ids, strict=True)):
+                if found is None:
+                    ids[i] = new = self.part(p, plain, " ")
+                    if len(known) < CACHE:
+                        known[p] = new
+        return self.part(first, plain) + b"".join(ids)
+
+
+#: The splitter of the byte-level tokenizer, for texts of the scripts named in PLAIN, on which Unicode versions agree.
+SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+PLAIN = re.compile(r"[\x09\x0A\x0D\x20-\x7E\xA1-\u024F]*")
+#: A space between white space, or at the end after some: cutting there changes pieces; before any other space the splitter cuts itself.
+ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+MARKS = tuple(".,;:!?")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+SPACE_LETTER = chr(BYTE_LETTERS[32])
 
 
 def _encode(path: str, end_id: int):
@@ -95,12 +127,12 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             at, texts = 0, batch.column(1)
             while at < len(texts):
-                # some 4 MB of text at once; a longer one by itself
+                # some 4 MB of ids at once; a longer document by itself
                 run, size = [], 0
                 while at + len(run) < len(texts) and (not run or size < 4 << 20):
-                    run.append(texts[at + len(run)].as_py() or "")
+                    run.append(encoder(texts[at + len(run)].as_py() or "") + end)
                     size += len(run[-1])
-                encoded = [e + end for e in encoder(run)]
+                encoded = run
                 offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])])
                 ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
