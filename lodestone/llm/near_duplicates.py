@@ -94,7 +94,7 @@ def _add(key, pdf):
 
 
 def frequency_ranks(texts: DataFrame, stages: Stages, k: int = SHINGLE) -> np.ndarray:
-    """A byte for each counter of the sketch: eight steps to each doubling of its count. The tasks' sketches are added up FAN_IN at a time."""
+    """A byte of up to 127 for each counter of the sketch: four steps to each doubling of its count. The tasks' sketches are added up FAN_IN at a time."""
     parts = stages.write(texts.mapInArrow(_sketch(k), SKETCH), "sketch")
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     sums = parts
@@ -108,7 +108,7 @@ def frequency_ranks(texts: DataFrame, stages: Stages, k: int = SHINGLE) -> np.nd
     # SLOTS rows of a fixed size
     for _, slot, packed in sums.collect():
         c = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.float64)
-        ranks[slot * width : (slot + 1) * width] = np.minimum(255, np.floor(8 * np.log2(1 + c)))
+        ranks[slot * width : (slot + 1) * width] = np.minimum(127, np.floor(4 * np.log2(1 + c)))
     stages.drop("sketch")
     return ranks
 
@@ -244,15 +244,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
     linked = docs.where("doc_id is not null and n > 0")
     groups = linked.groupBy("n", "g1", "g2").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.min("d1").alias("lo"), F.max("d1").alias("hi"))
-    posted = groups.select("gid", "n", (F.col("lo") != F.col("hi")).alias("several"), F.explode("prefix").alias("token"))
+    posted = groups.select("gid", "n", (F.col("lo") != F.col("hi")).alias("several"), F.posexplode("prefix").alias("pos", "token"))
     # cells: how long the posting can be, by the sketch's rank in the token's first byte
-    longest = F.pow(F.lit(2.0), (F.shiftrightunsigned("token", 56) + 1) / 8)
+    longest = F.pow(F.lit(2.0), (F.shiftrightunsigned("token", 56) + 1) / 4)
     cells = F.greatest(F.lit(1), F.ceil(longest / CELL)).cast("int")
     posted = posted.withColumn("cell", F.when(longest > CELL, F.pmod(F.xxhash64("gid", "n"), cells)).otherwise(0).cast("int"))
     cell = W.partitionBy("token", "cell")
     posted = posted.withColumns({"lead": F.min(F.struct("gid", "n")).over(cell), "_rows": F.count("*").over(cell), "_several": F.max("several").over(cell)})
     posted = posted.where((F.col("_rows") > 1) | F.col("_several") | (longest > CELL))
-    posted = stages.write(posted.select("token", "cell", "gid", "n", F.col("lead.gid").alias("lid"), F.col("lead.n").alias("ln")), "posted")
+    posted = stages.write(posted.select("token", "cell", "gid", "n", "pos", F.col("lead.gid").alias("lid"), F.col("lead.n").alias("ln")), "posted")
 
     classes = linked.groupBy("n", "g1", "g2", "d1", "d2").agg(F.min("doc_id").alias("cid"))
     own = classes.join(linked.groupBy("n", "g1", "g2").agg(F.min("doc_id").alias("gid")), ["n", "g1", "g2"])
@@ -262,7 +262,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     bound = F.col("c") + F.greatest(_rest(F.col("n"), percent), _rest(F.col("ln"), percent)) >= _overlap(F.col("n"), F.col("ln"), percent)
     led = posted.where("gid <> lid or n <> ln").groupBy("gid", "n", "lid", "ln").agg(F.count("*").alias("c"))
     led = led.where(_sizes(F.col("n"), F.col("ln"), percent) & bound).groupBy("gid", "n").agg(F.max(F.struct("c", "lid", "ln")).alias("best")).select("gid", "n", F.col("best.lid").alias("lid"), F.col("best.ln").alias("ln"))
-    heads = posted.where(F.shiftrightunsigned("token", 56) >= int(8 * np.log2(CELL)) - 1).select("token", F.col("lid").alias("gid"), F.col("ln").alias("n")).distinct()
+    heads = posted.where(F.shiftrightunsigned("token", 56) >= int(4 * np.log2(CELL)) - 1).select("token", F.col("lid").alias("gid"), F.col("ln").alias("n")).distinct()
     first = heads.groupBy("token").agg(F.min(F.struct("gid", "n")).alias("lead")).withColumnRenamed("token", "_token")
     heads = heads.join(first, F.col("token") == F.col("_token")).select("gid", "n", F.col("lead.gid").alias("lid"), F.col("lead.n").alias("ln")).where("gid <> lid")
     heads = heads.where(_sizes(F.col("n"), F.col("ln"), percent)).distinct()
@@ -280,15 +280,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     known = classes.join(labels, F.col("cid") == F.col("node"), "left").select("gid", "n", "d1", "cid", F.coalesce("label", "cid").alias("label"))
     known = stages.write(known, "known")
     span = known.groupBy("gid", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), "lo", "hi")
-    post = posted.select("token", "gid", "n").join(span, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "gid", "n", "lo", "hi")
+    post = posted.select("token", "gid", "n", "pos").join(span, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "gid", "n", "pos", "lo", "hi")
     post = stages.write(post, "post")
     mixed = post.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select(F.col("token").alias("_token"))
-    post = post.select("token", "gid", "n").join(mixed, F.col("token") == F.col("_token"), "left_semi")
+    post = post.select("token", "gid", "n", "pos").join(mixed, F.col("token") == F.col("_token"), "left_semi")
     members = known.select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), "d1", "cid", "label")
-    post = stages.write(post.join(members, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "cid", "n", "d1", "label"), "mixed")
-    a = post.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("d1").alias("da"), F.col("label").alias("la"))
-    b = post.select(F.col("token").alias("_token"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("d1").alias("db"), F.col("label").alias("lb"))
-    met = a.join(b, (F.col("token") == F.col("_token")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _sizes(F.col("na"), F.col("nb"), percent))
+    post = stages.write(post.join(members, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "pos", "cid", "n", "d1", "label"), "mixed")
+    # shingles before this one that can be shared with another component, and shingles after it
+    earlier = F.row_number().over(W.partitionBy("cid", "n", "d1").orderBy("token")) - 1
+    post = post.withColumns({"before": earlier, "after": F.col("n") - F.col("pos") - 1})
+    a = post.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("d1").alias("da"), F.col("label").alias("la"), F.col("before").alias("pa"), F.col("after").alias("ra"))
+    b = post.select(F.col("token").alias("_token"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("d1").alias("db"), F.col("label").alias("lb"), F.col("before").alias("pb"), F.col("after").alias("rb"))
+    most = F.least("pa", "pb") + 1 + F.least("ra", "rb")
+    met = a.join(b, (F.col("token") == F.col("_token")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _sizes(F.col("na"), F.col("nb"), percent) & (most >= _overlap(F.col("na"), F.col("nb"), percent)))
     met = met.groupBy("a", "na", "da", "b", "nb", "db").agg(F.count("*").alias("c"))
     met = met.where(F.col("c") + F.greatest(_rest(F.col("na"), percent), _rest(F.col("nb"), percent)) >= _overlap(F.col("na"), F.col("nb"), percent)).drop("c")
     pairs = stages.write(met, "pairs-2")
