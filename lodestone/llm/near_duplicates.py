@@ -2,7 +2,7 @@
 
 1. A sketch: every document adds its distinct shingles to 2**SKETCH_BITS counters, whose sums over the whole corpus put shingles in one global order, rare before frequent. Any fixed order gives right results; this one keeps common lines and passages out of prefixes. The sketch has a fixed size, and is what is broadcast.
 2. A document of n shingles has as prefix its first n - ceil(t * n) + 1. Documents with equal prefixes and sizes collapse into a group, and inside it those with equal sets (a 128-bit sum of hashes) into a class. From here on copies cost nothing.
-3. Groups post their prefix shingles. First each group is paired with the least group of a posting (of a cell of it, where the sketch says that a posting is long), the most frequent partner only: a number of pairs linear in the groups. Pairs are verified on whole sets, and links united.
+3. Groups post their prefix shingles. First each group is paired with the leader of a posting (of a cell of it, where the sketch says that a posting is long): the group in which the posting's shingle comes first. Only the most frequent partner counts: a number of pairs linear in the groups. Pairs are verified on whole sets, and links united.
 4. Only postings that hold several components after that can hold a link that still matters. Those are expanded to members, and all pairs of members of different components that the size and overlap bounds leave are verified on whole sets. So no link between two components is missed, and no large group of copies or near copies is paired with itself.
 5. Connected components by alternating large-star and small-star steps.
 
@@ -250,7 +250,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     cells = F.greatest(F.lit(1), F.ceil(longest / CELL)).cast("int")
     posted = posted.withColumn("cell", F.when(longest > CELL, F.pmod(F.xxhash64("gid", "n"), cells)).otherwise(0).cast("int"))
     cell = W.partitionBy("token", "cell")
-    posted = posted.withColumns({"lead": F.min(F.struct("gid", "n")).over(cell), "_rows": F.count("*").over(cell), "_several": F.max("several").over(cell)})
+    # the group in which the shingle comes first has the fewest rare ones, so it is nearest to the others
+    posted = posted.withColumns({"lead": F.min(F.struct("pos", "gid", "n")).over(cell), "_rows": F.count("*").over(cell), "_several": F.max("several").over(cell)})
     posted = posted.where((F.col("_rows") > 1) | F.col("_several") | (longest > CELL))
     posted = stages.write(posted.select("token", "cell", "gid", "n", "pos", F.col("lead.gid").alias("lid"), F.col("lead.n").alias("ln")), "posted")
 
