@@ -30,6 +30,8 @@ PERCENT = 75
 SKETCH_BITS, SLOTS, FAN_IN = 22, 64, 64
 #: A posting that may be longer than this is dealt out to cells.
 CELL = 8192
+#: A posting over several components with more rows than this is a long one.
+LONG = 64
 U = np.uint64
 
 
@@ -287,15 +289,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     post = post.select("token", "gid", "n", "pos").join(mixed, F.col("token") == F.col("_token"), "left_semi")
     members = known.select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), "d1", "cid", "label")
     post = stages.write(post.join(members, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "pos", "cid", "n", "d1", "label"), "mixed")
-    # shingles before this one that can be shared with another component, and shingles after it
-    earlier = F.row_number().over(W.partitionBy("cid", "n", "d1").orderBy("token")) - 1
-    post = post.withColumns({"before": earlier, "after": F.col("n") - F.col("pos") - 1})
-    a = post.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("d1").alias("da"), F.col("label").alias("la"), F.col("before").alias("pa"), F.col("after").alias("ra"))
-    b = post.select(F.col("token").alias("_token"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("d1").alias("db"), F.col("label").alias("lb"), F.col("before").alias("pb"), F.col("after").alias("rb"))
+    # shingles before this one that can be shared with another component, those of them in long postings, and shingles after it
+    long = small(stages.write(post.groupBy("token").agg(F.count("*").alias("_rows")).where(F.col("_rows") > LONG).select(F.col("token").alias("_token")), "long"))
+    post = post.join(long, F.col("token") == F.col("_token"), "left").withColumn("hot", F.col("_token").isNotNull().cast("int")).drop("_token")
+    member = W.partitionBy("cid", "n", "d1")
+    so_far = member.orderBy("token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    post = post.withColumns({"before": F.row_number().over(member.orderBy("token")) - 1, "hots": F.sum("hot").over(so_far) - F.col("hot"), "all_hot": F.sum("hot").over(member), "after": F.col("n") - F.col("pos") - 1})
+
+    def side(x: str) -> DataFrame:
+        return post.select(F.col("token").alias(f"t{x}"), F.col("hot").alias(f"o{x}"), F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("d1").alias(f"d{x}"), F.col("label").alias(f"l{x}"), F.when(F.col("hot") == 1, F.col("hots")).otherwise(F.col("before")).alias(f"p{x}"), F.col("all_hot").alias(f"h{x}"), F.col("after").alias(f"r{x}"))
+
+    # a pair that shares an earlier shingle of a short posting is met there; at a long posting only pairs count that can link without one
     most = F.least("pa", "pb") + 1 + F.least("ra", "rb")
-    met = a.join(b, (F.col("token") == F.col("_token")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _sizes(F.col("na"), F.col("nb"), percent) & (most >= _overlap(F.col("na"), F.col("nb"), percent)))
-    met = met.groupBy("a", "na", "da", "b", "nb", "db").agg(F.count("*").alias("c"))
-    met = met.where(F.col("c") + F.greatest(_rest(F.col("na"), percent), _rest(F.col("nb"), percent)) >= _overlap(F.col("na"), F.col("nb"), percent)).drop("c")
+    least = _overlap(F.col("na"), F.col("nb"), percent)
+    met = side("a").join(side("b"), (F.col("ta") == F.col("tb")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _sizes(F.col("na"), F.col("nb"), percent) & (most >= least))
+    met = met.groupBy("a", "na", "da", "b", "nb", "db").agg(F.sum(1 - F.col("oa")).alias("c"), F.max(F.least("ha", "hb")).alias("h"))
+    # long postings that both are in are counted whole, as not all of them were met
+    met = met.where(F.col("c") + F.col("h") + F.greatest(_rest(F.col("na"), percent), _rest(F.col("nb"), percent)) >= least).drop("c", "h")
     pairs = stages.write(met, "pairs-2")
     more = verified(df, pairs, stages, "rest", k, percent)
     labels = components(links.union(more), stages, "all")
