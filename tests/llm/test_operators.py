@@ -39,7 +39,9 @@ def lower(t):
     return (t or "").translate({c: c + 32 for c in range(65, 91)})
 
 
-def test_near_duplicates(docs, empty):
+@pytest.mark.parametrize("long", [64, 0, 1])
+def test_near_duplicates(docs, empty, monkeypatch, long):
+    monkeypatch.setattr(near_duplicates, "LONG", long)
     sets = {}
     for i, t, *_ in rows():
         w = WORD.findall(lower(t))
