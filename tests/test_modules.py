@@ -88,3 +88,33 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"%PDF")
     got = {r.path.rsplit("/", 1)[-1]: (r.text, r.error is None) for r in parsers.read_files(spark, str(tmp_path)).collect()}
     assert got == {"a.TXT": ("hello", True), "b.pdf": (None, False)}
+
+
+def _zipped(files):
+    at = io.BytesIO()
+    with zipfile.ZipFile(at, "w") as z:
+        for name, content in files.items():
+            z.writestr(name, content)
+    return at.getvalue()
+
+
+def test_zip_container():
+    content = _zipped({"a/x.json": '{"a":1}', "b.bin": b"\x00\x01", "c.HTML": "<p>hello</p>"})
+    want = [(None, "a/x.json", '{\n  "a": 1\n}'), (None, "c.HTML", "hello")]
+    assert parsers.parse("m.ptpt", content) == want
+    assert parsers.parse("m", content) == want
+    with pytest.raises(ValueError):
+        parsers.parse("m.stpt", b"PK\x03\x04 cut")
+
+
+def test_byte_strings():
+    content = b"\x00\x01alpha one\x00\x02alpha one\x00!!!!!!!!\x01\x02" + "wide text".encode("utf-16-le") + b"\x00\x00" + "长庆油田".encode("gb18030") + b"\x00"
+    (source,) = parsers.parse("dir/lib.dll", content)
+    head, *lines = source[2].split("可读字符串:\n")
+    assert source[:2] == (None, "二进制内容") and head == f"文件名: lib.dll\n文件大小: {len(content)} 字节\n"
+    assert lines[0].split("\n") == ["alpha one", "wide text", "长庆油田"]
+
+
+def test_byte_strings_limit():
+    assert len(parsers.byte_strings("x", b"\x00".join(b"word%07d" % i for i in range(20000)))[0][2]) < 120_000
+    assert parsers.byte_strings("x", b"")[0][2].endswith("可读字符串:\n")
