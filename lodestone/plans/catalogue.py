@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import intent, text
-from ..operators import evaluation, metadata, retrieval
+from ..operators import evaluation, listing, metadata, retrieval
 from ..streaming import ingest
 
 QUERIES: dict = {}
@@ -57,21 +57,30 @@ def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 TOP = f"""hits as (select * from (select q.vec_id as question_id, p.vec_id, {COS.format("p.embedding", "q.embedding")} as score, row_number() over (partition by q.vec_id order by {COS.format("p.embedding", "q.embedding")} desc, p.vec_id) as rank
-    from embeddings p join embeddings q on p.label = q.label where q.vec_id < 20) where rank <= 10)"""
+    from embeddings p join embeddings q on p.label = q.label where q.vec_id % 20 = 0) where rank <= 10)"""
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     points = read(spark, d, "embeddings")
-    questions = points.where("vec_id < 20").select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("qvec"))
+    questions = points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("qvec"))
     return retrieval.top_k(points, questions, 10, "label").select("question_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {TOP} select question_id, vec_id, score, rank, cast(vec_id // 3 as bigint) as document_id from (select *, row_number() over (partition by question_id, vec_id // 3 order by rank) as f from hits) where f = 1")
 def topk_per_question_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Ten hits for each of twenty questions; one citation for each document."""
+    """Ten hits for each question; one citation for each document. Questions are the rows whose id is divisible by 20."""
     return retrieval.dedup_citations(_hits(spark, d).withColumn("document_id", F.floor(F.col("vec_id") / 3)), "question_id", F.col("document_id"))
 
 
+@query()
+def topk_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of an inverted file of 16 cells, 13 of them probed: these vectors have no clusters, and ten cells find 0.85 of the exact hits only."""
+    points = read(spark, d, "embeddings")
+    centres = retrieval.fit_cells(points, 16)
+    questions = points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("qvec"))
+    return retrieval.search_cells(retrieval.index_cells(points, centres), questions, centres, 10, 13, "label").select("question_id", "vec_id", "score", "rank")
+
+
 @query(f"with {TOP} select question_id, count(*) as n_hits, count(distinct vec_id // 3) as n_documents, string_agg(cast(vec_id as varchar), ',' order by rank) as chunk_ids from hits group by question_id")
 def context_document_counts(spark: SparkSession, d: str) -> DataFrame:
     """Hits and distinct documents in each question's context, with the hit ids in order."""
@@ -144,16 +153,59 @@ def catalog_counts(spark: SparkSession, d: str) -> DataFrame:
     return folders.join(ready.groupBy("kb").agg(F.countDistinct("folder", "file_name").alias("n_files")), "kb")
 
 
-@query(f"""with {DOCS}, r as (select * from docs where status = 'ready'), f as (select kb, string_agg('- ' || p, chr(10) order by p) as folders from (select distinct kb, unnest([split_part(folder, '/', 1), folder]) as p from r) group by kb),
-g as (select kb, string_agg('- ' || folder || '/' || file_name, chr(10) order by lower(folder || '/' || file_name)) as files from r group by kb)
-select kb, sha256(folders || chr(10) || '[文件]' || chr(10) || files) as hash from f join g using (kb)""")
+CATALOGUE = f"""{DOCS}, r as (select distinct kb, folder, folder || '/' || file_name as path from docs where status = 'ready'), f as (select distinct kb, unnest([split_part(folder, '/', 1), folder]) as path from r),
+c as (select kb, (select count(*) from f where f.kb = k.kb) as n_folders, (select count(*) from r where r.kb = k.kb) as n_files from (select distinct kb from r) k),
+l as (select kb, 0 as kind, path, '- ' || path as line from f union all select kb, 1, '', '[文件]' from c union all select kb, 2, path, '- ' || path from r),
+o as (select l.kb, line, '已入库目录：' || n_folders || ' 个文件夹，' || n_files || ' 个文件。' as head, n_folders + 1 + n_files as total, row_number() over w as n, sum(length(line) + 1) over w as used from l join c on l.kb = c.kb window w as (partition by l.kb order by kind, lower(path), path)),
+z as (select *, length(head) + 6 + used + case when n < total then 1 + length('... 另有 ' || (total - n) || ' 项因目录上下文长度限制未显示。') else 0 end as needs from o), k as (select kb, max(n) as kept from z where needs <= {{budget}} group by kb)
+select o.kb, sha256(any_value(head) || chr(10) || '[文件夹]' || coalesce(chr(10) || string_agg(case when n <= coalesce(kept, 0) then line end, chr(10) order by n), '')
+    || case when any_value(total) > coalesce(any_value(kept), 0) then chr(10) || '... 另有 ' || (any_value(total) - coalesce(any_value(kept), 0)) || ' 项因目录上下文长度限制未显示。' else '' end) as hash, any_value(total) - coalesce(any_value(kept), 0) as omitted
+from o left join k on o.kb = k.kb group by o.kb"""
+
+
+@query("with " + CATALOGUE.format(budget=listing.BUDGET))
 def catalog_text(spark: SparkSession, d: str) -> DataFrame:
-    """The catalogue of each tenant: folders, then files, without the budget."""
-    ready = docs(spark, d).where("status = 'ready'").select("kb", "folder", F.concat_ws("/", "folder", "file_name").alias("path"))
-    lines = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: F.concat(F.lit("- "), x)), "\n")
-    folders = ready.select("kb", F.explode(text.ancestors(F.col("folder"))).alias("p")).groupBy("kb").agg(lines("p").alias("folders"))
-    files = ready.groupBy("kb").agg(lines("path").alias("files"))
-    return folders.join(files, "kb").select("kb", text.content_hash(F.concat("folders", F.lit("\n[文件]\n"), "files")).alias("hash"))
+    """The catalogue of each tenant within the budget that prompts have."""
+    return listing.catalogue_text(docs(spark, d)).select("kb", text.content_hash(F.col("catalogue")).alias("hash"), "omitted")
+
+
+@query("with " + CATALOGUE.format(budget=400))
+def catalog_text_cut(spark: SparkSession, d: str) -> DataFrame:
+    """A budget that no tenant's catalogue fits."""
+    return listing.catalogue_text(docs(spark, d), 400).select("kb", text.content_hash(F.col("catalogue")).alias("hash"), "omitted")
+
+
+ASKED = [("a", ["which files are in en/SRC1"]), ("b", ["and in the other folder?", "earlier: src3", "first: src2"]), ("c", ["where is DOC_12.txt or doc_7.txt"]), ("d", ["list all"]), ("e", ["files of de\\src4 and de"])]
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    q = F.explode(F.array(*[F.struct(F.lit(i).alias("question_id"), F.array(*[F.lit(m) for m in ms]).alias("messages")) for i, ms in ASKED])).alias("q")
+    return docs(spark, d).select("kb").distinct().select("kb", q).select("kb", "q.*")
+
+
+ASK = f"""{DOCS}, r as (select distinct kb, folder, folder || '/' || file_name as path, file_name from docs where status = 'ready'), q as (select kb, question_id, age, lower(replace(m, chr(92), '/')) as said from (select distinct kb from docs),
+    (values {", ".join(f"('{i}', {n}, '{m}')" for i, ms in ASKED for n, m in enumerate(ms))}) v(question_id, age, m)),
+m as (select distinct q.kb, question_id, age, folder, case when contains(said, folder) then 0 else 1 end as kind from q join r on q.kb = r.kb and (contains(said, folder) or contains(said, split_part(folder, '/', 2)))),
+t as (select * from (select *, rank() over (partition by kb, question_id order by age, kind) as best from m) where best = 1)"""
+
+
+@query(f"with {ASK} select distinct q.question_id, q.kb, path from q join r on q.kb = r.kb and (contains(said, lower(path)) or contains(said, file_name))")
+def catalog_answer_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that questions name."""
+    return listing.found_files(_asked(spark, d), docs(spark, d))
+
+
+@query(f"with {ASK} select distinct q.question_id, q.kb, r.path from (select distinct kb, question_id from q) q left join t on t.kb = q.kb and t.question_id = q.question_id join r on r.kb = q.kb and (t.folder is null or r.folder = t.folder)")
+def catalog_answer_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Files below the folders that questions, or else the newest message that names any, ask for."""
+    return listing.scoped_files(_asked(spark, d), docs(spark, d))
+
+
+@query(f"""with {ASK}, s as (select kb, question_id, string_agg('`' || folder || '`', '、' order by length(folder) desc, lower(folder)) as scope from (select distinct kb, question_id, folder from t) group by all),
+a as (select distinct q.question_id, q.kb, r.path from (select distinct kb, question_id from q) q left join t on t.kb = q.kb and t.question_id = q.question_id join r on r.kb = q.kb and (t.folder is null or r.folder = t.folder))
+select a.question_id, a.kb, coalesce(any_value(scope), '知识库') || '中共有 **' || count(*) || '** 个已入库文件：' as headline, count(*) as n from a left join s on s.kb = a.kb and s.question_id = a.question_id group by a.question_id, a.kb""")
+def catalog_answer_headlines(spark: SparkSession, d: str) -> DataFrame:
+    return listing.headlines(_asked(spark, d), docs(spark, d), False)
 
 
 @query(f"with {DOCS} select kb, folder || '/' || file_name as path from docs where status = 'ready' and (folder = 'de' or starts_with(folder, 'de/'))")
@@ -210,10 +262,10 @@ def attachment_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {TOP}, {DOCS} select question_id, sha256(string_agg('[完整路径] ' || folder || '/' || file_name || chr(10) || '[文件名] ' || file_name || chr(10) || '[页码] 未知' || chr(10) || '[内容] ' || text, chr(10) || chr(10) order by rank)) as hash
-from hits join docs on docs.doc_id = hits.vec_id % 200 group by question_id""")
+from hits join docs on docs.doc_id = hits.vec_id group by question_id""")
 def context_format(spark: SparkSession, d: str) -> DataFrame:
     """The context of each question: four labelled lines for each hit, in rank order."""
-    hits = _hits(spark, d).withColumn("doc_id", F.col("vec_id") % 200).join(docs(spark, d), "doc_id")
+    hits = _hits(spark, d).withColumn("doc_id", F.col("vec_id")).join(docs(spark, d), "doc_id")
     path = text.file_path(F.lit(None).cast("string"), F.col("folder"), F.col("file_name"), F.col("file_name"))
     part = F.concat(F.lit("[完整路径] "), path, F.lit("\n[文件名] "), "file_name", F.lit("\n[页码] 未知\n[内容] "), "text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n")

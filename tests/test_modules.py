@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import intent, text
-from lodestone.operators import evaluation, metadata, retrieval
+from lodestone.operators import evaluation, listing, metadata, retrieval
 from lodestone.sources import parsers
 
 
@@ -58,9 +58,36 @@ def test_upsert_and_budget(spark):
 
 
 def test_cells_recall(spark):
-    points = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    cells = retrieval.assign_cells(points, 8)
-    assert cells.count() == points.count() and cells.where("cell is null").count() == 0
+    points = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    questions = points.where("vec_id % 20 = 0").selectExpr("vec_id as question_id", "label", "embedding as qvec")
+    centres = retrieval.fit_cells(points, 16)
+    index = retrieval.index_cells(points, centres)
+    assert index.count() == points.count()
+    pairs = lambda df: {(r.question_id, r.vec_id) for r in df.collect()}
+    exact = pairs(retrieval.top_k(points, questions, 10, "label"))
+    assert len(pairs(retrieval.search_cells(index, questions, centres, 10, 13, "label")) & exact) >= 0.9 * len(exact)
+    assert pairs(retrieval.search_cells(index, questions, centres, 10, 16, "label")) == exact
+
+
+def test_top_k_tiles(spark, monkeypatch):
+    rows = [(i, "a" if i % 3 else None, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(90)] + [(100, "a", None), (101, "a", [0.0, 0.0, 0.0]), (102, "a", [1.0]), (103, "b", [])]
+    points = spark.createDataFrame(rows, "vec_id int, kb string, embedding array<float>")
+    questions = points.where("vec_id % 20 = 0").selectExpr("vec_id as question_id", "kb", "embedding as qvec")
+    got = sorted(map(tuple, retrieval.top_k(points, questions, 4, "kb").collect()))
+    monkeypatch.setattr(retrieval, "TILE_POINTS", 16)
+    monkeypatch.setattr(retrieval, "TILE_QUESTIONS", 2)
+    assert sorted(map(tuple, retrieval.top_k(points, questions, 4, "kb").collect())) == got
+    assert {r[0] for r in got} == {20, 40, 80} and all(r[3] <= 4 for r in got) and {r[1] for r in got} <= set(range(90))
+    assert retrieval.top_k(points.limit(0), questions, 4, "kb").count() == 0
+
+
+def test_catalogue_without_folder_or_room(spark):
+    files = spark.createDataFrame([("a", None, "x.txt", "ready"), ("a", "", "x.txt", "ready"), ("a", None, None, "ready"), ("b", "f", "y.txt", "failed")], "kb string, folder string, file_name string, status string")
+    assert [tuple(r) for r in listing.catalogue_text(files).collect()] == [("a", "已入库目录：0 个文件夹，1 个文件。\n[文件夹]\n[文件]\n- x.txt", 0)]
+    assert [r.omitted for r in listing.catalogue_text(files, 10).collect()] == [2]
+    asked = spark.createDataFrame([("q", "a", ["x.TXT?"]), ("r", "b", ["f"])], "question_id string, kb string, messages array<string>")
+    assert {r.question_id: r.headline for r in listing.headlines(asked, files, True).collect()} == {"q": listing.FOUND % 1, "r": listing.EMPTY}
+    assert {r.question_id: r.headline for r in listing.headlines(asked, files, False).collect()} == {"q": listing.LISTED % ("知识库", 1), "r": listing.EMPTY}
 
 
 def test_parsers():
