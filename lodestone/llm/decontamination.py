@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Stages, documents
+from ._common import Stages, documents, releasing
 from ._words import ALNUM_WORDS, runs, text_slices, words
 
 K, WINDOW = 5, 6
@@ -172,7 +172,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     df = df.drop("n_words", "n_hit", "n_items", "items_sha256")
     stages = Stages(spark, "benchmark")
     own = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).alias("text"))
-    own = stages.write(own.mapInArrow(_hashed, "item_id string, words binary"), "words")
+    own = stages.write(own.mapInArrow(releasing(_hashed), "item_id string, words binary"), "words")
     total = own.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // (8 * block_words)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + OUT
@@ -181,7 +181,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
         rows = own.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == b).collect()
         index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows]))
         full = n_blocks > 1
-        passes.append(df.mapInArrow(_scan(text, index, full), schema + (", _spans array<bigint>, _items array<string>" if full else "")))
+        passes.append(df.mapInArrow(releasing(_scan(text, index, full)), schema + (", _spans array<bigint>, _items array<string>" if full else "")))
     stages.drop("words")
     if n_blocks == 1:
         return passes[0]
@@ -192,7 +192,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     merged = every.groupBy(*names, "n_words").agg(F.collect_list("_spans").alias("_spans"), F.collect_list("_items").alias("_items"), F.count("*").alias("_n"))
     merged = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / n_blocks).cast("int")))).drop("_n", "_copy")
     own_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.drop("_spans", "_items").schema)
-    return merged.mapInArrow(_merge, own_schema + ", n_hit long, n_items long, items_sha256 string")
+    return merged.mapInArrow(releasing(_merge), own_schema + ", n_hit long, n_items long, items_sha256 string")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **names) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import Stages, documents, small
+from ._common import Stages, documents, releasing, small
 from ._words import BLANK_WORDS, mix, runs, text_slices, whole, words
 
 SHINGLE = 5
@@ -97,7 +97,7 @@ def _add(key, pdf):
 
 def frequency_ranks(texts: DataFrame, stages: Stages, k: int = SHINGLE) -> np.ndarray:
     """A byte of up to 127 for each counter of the sketch: four steps to each doubling of its count. The tasks' sketches are added up FAN_IN at a time."""
-    parts = stages.write(texts.mapInArrow(_sketch(k), SKETCH), "sketch")
+    parts = stages.write(texts.mapInArrow(releasing(_sketch(k)), SKETCH), "sketch")
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     sums = parts
     while True:
@@ -201,12 +201,12 @@ def verified(df: DataFrame, pairs: DataFrame, stages: Stages, name: str, k: int,
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ends = stages.write(ends, f"{name}-ids")
     texts = df.select("_id", "_text").join(small(ends), F.col("_id") == F.col("id"), "left_semi")
-    sets = texts.mapInArrow(_sets(k), "id long, n int, d1 long, shingles binary").dropDuplicates(["id", "n", "d1"])
+    sets = texts.mapInArrow(releasing(_sets(k)), "id long, n int, d1 long, shingles binary").dropDuplicates(["id", "n", "d1"])
     sets = stages.write(sets, f"{name}-sets")
     left, right = (sets.select(F.col("id").alias(f"i{x}"), F.col("n").alias(f"n_{x}"), F.col("d1").alias(f"d_{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(left, (F.col("a") == F.col("ia")) & (F.col("na") == F.col("n_a")) & (F.col("da") == F.col("d_a"))).drop("ia", "n_a", "d_a")
     joined = joined.join(right, (F.col("b") == F.col("ib")) & (F.col("nb") == F.col("n_b")) & (F.col("db") == F.col("d_b"))).select("a", "b", "sa", "sb")
-    links = stages.write(joined.mapInArrow(_verify(percent), "a long, b long").distinct(), f"{name}-links")
+    links = stages.write(joined.mapInArrow(releasing(_verify(percent)), "a long, b long").distinct(), f"{name}-links")
     stages.drop(f"{name}-ids", f"{name}-sets")
     return links
 
@@ -242,7 +242,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     stages = Stages(spark, "near")
     df = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     ranks = spark.sparkContext.broadcast(frequency_ranks(df.select("_text"), stages, k))
-    docs = stages.write(df.mapInArrow(_prefixes(ranks, k, percent), PREFIXES), "docs")
+    docs = stages.write(df.mapInArrow(releasing(_prefixes(ranks, k, percent)), PREFIXES), "docs")
 
     linked = docs.where("doc_id is not null and n > 0")
     groups = linked.groupBy("n", "g1", "g2").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.min("d1").alias("lo"), F.max("d1").alias("hi"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, new_path
+from ._common import documents, new_path, releasing
 
 END_ID = 0
 #: Parts, and pieces, that a worker remembers.
@@ -146,7 +146,7 @@ def write_token_files(df: DataFrame, path: str, key: str = "doc_id", text: str =
     """Writes df's documents to ORC files in path, in ascending order of the key (a long)."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    encoded = rows.mapInArrow(_encode(tokenizer or tokenizer_path(), end_id), "doc_id long, ids array<int>")
+    encoded = rows.mapInArrow(releasing(_encode(tokenizer or tokenizer_path(), end_id)), "doc_id long, ids array<int>")
     options = {
         "orc.compress": "ZSTD",
         "orc.stripe.size": str(STRIPE_BYTES),
@@ -174,7 +174,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and its file, all read from the files. Starts are running sums in each file plus the sums of the files before, so no task holds more than a file's index and a row for each file."""
     rows = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    rows = rows.mapInArrow(_digest, "file string, doc_id long, n_tokens long, ids_crc32 long")
+    rows = rows.mapInArrow(releasing(_digest), "file string, doc_id long, n_tokens long, ids_crc32 long")
     files = rows.groupBy("file").agg(F.min(F.struct("doc_id", "file")).alias("first"), F.sum("n_tokens").alias("n"))
     before = W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)
     files = files.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
