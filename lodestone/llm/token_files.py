@@ -164,6 +164,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # files are whole before they are read, so a worker that encoded them needs its encoder no more
+    _workers.clear()
     for batch in batches:
         lists = batch.column("ids")
         offsets, data = lists.offsets.to_numpy(), memoryview(lists.values.to_numpy().astype("<u4", copy=False)).cast("B")
