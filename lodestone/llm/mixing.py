@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Each source's documents stand in a seeded order, dealt over strata (hash ranges, called shards here), and are cut into blocks of equally many words. Sainte-Lague gives each source a whole number of blocks by its target, then divides a source's blocks over its shards by their sizes. In a shard with n blocks and quota q every block is taken q // n times, and q % n blocks in a row, from a seeded one on, once more; since the order is seeded, that run is a random set of documents.
+Each source's documents stand in a seeded order, dealt over strata (hash ranges, called shards here), and are cut into blocks of equally many words; how many is chosen for each source by its own size and target, so a source that is small beside the corpus has blocks as fine for it as a large one has. Sainte-Lague gives each source a whole number of words by its target. These are counted in blocks of the source's mean block, as the last of a shard is only part full, and Sainte-Lague divides them over its shards by their numbers of blocks. In a shard with n blocks and quota q every block is taken q // n times, and q % n blocks in a row, from a seeded one on, once more; since the order is seeded, that run is a random set of documents.
 
 Null or empty texts have size 0 and nothing is taken from them; a null source is a source of its own, after all others. Repeated rows are documents of their own. An empty table gives no rows. Nothing is collected: only per-source and per-shard sums meet in one task.
 """
@@ -19,7 +19,7 @@ from ._common import documents, n_words
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 SHARDS = 128
-#: Blocks for each source, and the most words of a block.
+#: Blocks for what is taken of each source once, and the most words of a block.
 BLOCKS, BLOCK_WORDS = 1 << 16, 4096
 
 
@@ -71,11 +71,10 @@ def _source_quotas(weights: tuple, most: float, blocks: int, block_words: int):
         sources = sources.iloc[at].reset_index(drop=True)
         sizes = [int(x) for x in sources["source_size"]]
         target = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-        words = max(1, min(block_words, sum(sizes) // (blocks * max(1, len(sizes)))))
-        limit = [int(most) * -(-n // words) for n in sizes]
-        sources["target"], sources["block"] = target, words
-        sources["seats"] = sainte_lague(target, round(sum(target) / words), limit)
-        return sources[["source", "source_size", "target", "block", "seats"]]
+        sources["target"] = target
+        sources["block"] = [max(1, min(block_words, int(min(n, t)) // blocks)) for n, t in zip(sizes, target, strict=True)]
+        sources["words"] = sainte_lague(target, round(sum(target)), [int(most * n) for n in sizes])
+        return sources[["source", "source_size", "target", "block", "words"]]
 
     return quotas
 
@@ -85,7 +84,10 @@ def _shard_quotas(most: float):
         shards = shards.sort_values("shard").reset_index(drop=True)
         block = int(shards["block"].iloc[0])
         shards["blocks"] = [-(-int(n) // block) for n in shards["shard_size"]]
-        shards["quota"] = sainte_lague([float(n) for n in shards["shard_size"]], int(shards["seats"].iloc[0]), [int(most) * b for b in shards["blocks"]])
+        # in integers: a source's words times its blocks can be beyond a double
+        size, words, n = int(shards["source_size"].iloc[0]), int(shards["words"].iloc[0]), int(shards["blocks"].sum())
+        seats = (2 * words * n + size) // (2 * size) if size else 0
+        shards["quota"] = sainte_lague([float(b) for b in shards["blocks"]], seats, [int(most) * b for b in shards["blocks"]])
         return shards[["source", "shard", "source_size", "target", "block", "blocks", "quota"]]
 
     return quotas
@@ -95,7 +97,7 @@ def mix_plan(sized: DataFrame, seed: int, weights=WEIGHTS, most=MAX_REPEATS, sha
     """sized: columns source, size, shard. A row for each source and shard: its blocks and quota."""
     by_shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     by_source = by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
-    sources = by_source.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_source_quotas(weights, most, blocks, block_words), "source string, source_size long, target double, block long, seats long")
+    sources = by_source.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_source_quotas(weights, most, blocks, block_words), "source string, source_size long, target double, block long, words long")
     joined = by_shard.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     return joined.groupBy("source").applyInPandas(_shard_quotas(most), "source string, shard int, source_size long, target double, block long, blocks long, quota long")
 

@@ -137,6 +137,20 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty.withColumn("size", F.lit(0).cast("long"))).count() == 0
 
 
+def test_mixing_tiny_sources(spark):
+    # documents, words of each, weight in order of names: a corpus of 4 thousand million words, and sources tiny beside it by size or by weight
+    made = {"a": (200, 100, 5.0), "b": (4000, 500_000, 2.0), "c": (4000, 500_000, 1.0), "d": (20, 100, 5.0), "e": (3, 50, 2.0), "f": (4000, 1000, 1e-6)}
+    sized = None
+    for s, (n, words, _) in made.items():
+        part = spark.range(n).select(F.concat(F.lit(s), F.col("id").cast("string")).alias("doc_id"), F.lit(s).alias("source"), F.lit(words).cast("long").alias("size"))
+        sized = part if sized is None else sized.unionByName(part)
+    got = mixing.mix(sized, weights=tuple(w for *_, w in made.values())).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert {r.source for r in got} == set(made)
+    for r in got:
+        assert r.target > 0
+        assert abs(r.taken - r.target) <= max(2, 0.005 * r.target), r
+
+
 def test_apportionment():
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2]
     assert mixing.water_fill([100, 1, 1], [1, 1, 1], 3) == [96.0, 3.0, 3.0]
