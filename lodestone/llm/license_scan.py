@@ -1,6 +1,6 @@
 """Licence scan: runs of normalised words against licence templates by the Dice coefficient of their word bigrams.
 
-Texts are lower-cased and cut into words of letters and digits. A template of b distinct bigrams can match a run only if the run has between t / (2 - t) and (2 - t) / t times as many; with runs of the template's own length, a text or stretch with too few of its bigrams prunes the template before any set is made. What is left is compared exactly.
+Texts are lower-cased and cut into words of letters and digits. A template of b distinct bigrams can match a run only if the run holds t / (2 - t) times as many of them and has at most (2 - t) / t times as many distinct ones; texts with too few of its bigrams are pruned before any run is looked at. Runs of every length are compared: those that begin and end with a bigram of the template which doesn't occur again inside them, since any other run holds one of these that is at least as alike. What is found is widened by the bigrams next to it that it holds already, which leaves the coefficient as it is.
 
 A null or empty text has no words and no licence. Equal coefficients: the first template by name, the first place. Repeated rows are judged one by one; an empty table gives no rows.
 """
@@ -39,41 +39,76 @@ TABLE = 1 << 16
 class Templates:
     def __init__(self, texts: dict[str, str], least: float = LEAST_DICE):
         self.least, self.names = least, sorted(texts)
-        self.sets, self.sizes, self.table = [], [], np.zeros(TABLE, bool)
+        self.sets, self.table = [], np.zeros(TABLE, bool)
         for name in self.names:
             data = np.frombuffer(texts[name].encode(), np.uint8)
             h = words(data, np.array([0, len(data)]), ALNUM_WORDS)[0]
             b = runs(h, 2)
             self.sets.append(np.unique(b))
-            self.sizes.append(len(b))
             self.table[(b & np.uint64(TABLE - 1)).astype(np.int64)] = True
 
     def match(self, b: np.ndarray) -> list[tuple[float, str, int, int]]:
         """b: a text's bigrams. The best run of each template that is alike enough: Dice, name, first word, end."""
-        found = []
+        found, places = [], None
         near = np.flatnonzero(self.table[(b & np.uint64(TABLE - 1)).astype(np.int64)])
         if not len(near):
             return found
-        for name, own, size in zip(self.names, self.sets, self.sizes, strict=True):
-            least = self.least * len(own) / (2 - self.least)
+        for name, own in zip(self.names, self.sets, strict=True):
+            least = self.least * len(own) / (2 - self.least) - 1e-9
             if len(near) < least:
                 continue
             hits = near[np.isin(b[near], own)]
-            if len(hits) < least:
+            if len(hits) < least or len(np.unique(b[hits])) < least:
                 continue
-            inside = np.searchsorted(hits, hits + size, "left") - np.arange(len(hits))
-            best = None
-            for at in hits[inside >= least]:
-                run = np.unique(b[at : at + size])
-                dice = 2 * len(np.intersect1d(run, own, assume_unique=True)) / (len(run) + len(own))
-                if dice >= self.least and (best is None or dice > best[0]):
-                    best = (float(dice), name, int(at), int(min(at + size, len(b)) + 1))
-                    if dice == 1:
-                        break
+            places = places or _places(b)
+            best = self._best(hits, len(own), *places)
             if best:
-                found.append(best)
+                found.append((best[0], name, *_widened(b, *best[1:])))
         return found
 
+    def _best(self, hits: np.ndarray, size: int, before: np.ndarray, after: np.ndarray) -> tuple[float, int, int] | None:
+        """The best run that begins with a hit: Dice, first word, end. before and after: where each bigram last was, and next is."""
+        least, most = self.least * size / (2 - self.least) - 1e-9, (2 - self.least) / self.least * size
+        hit = np.zeros(len(before), bool)
+        hit[hits] = True
+        ends = after[hits]
+        inside = np.searchsorted(hits, ends, "left") - np.arange(len(hits))
+        best = None
+        for at, end in zip(hits[inside >= least].tolist(), ends[inside >= least].tolist(), strict=True):
+            width = int(most) + 2
+            while True:
+                new = before[at : min(end, at + width)] < at
+                distinct = np.cumsum(new)
+                if at + width >= end or distinct[-1] > most:
+                    break
+                width *= 2
+            dice = 2 * np.cumsum(new & hit[at : at + len(new)]) / (distinct + size)
+            k = int(dice.argmax())
+            if dice[k] >= self.least and (best is None or dice[k] > best[0]):
+                best = (float(dice[k]), at, at + k + 2)
+                if dice[k] == 1:
+                    break
+        return best
+
+
+def _widened(b: np.ndarray, first: int, end: int) -> tuple[int, int]:
+    """The run of words from first to end, with the bigrams beside it that are in it."""
+    held = set(b[first : end - 1].tolist())
+    while first and int(b[first - 1]) in held:
+        first -= 1
+    while end <= len(b) and int(b[end - 1]) in held:
+        end += 1
+    return first, end
+
+
+def _places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bigram was last before a place, -1 if nowhere, and where it is next, the end if nowhere."""
+    order = np.argsort(b, kind="stable")
+    again = np.flatnonzero(b[order[1:]] == b[order[:-1]])
+    before, after = np.full(len(b), -1), np.full(len(b), len(b))
+    before[order[again + 1]], after[order[again]] = order[again], order[again + 1]
+    return before, after
+
 
 OUT = "license string, dice double, first_word long, end_word long, licenses string"
 

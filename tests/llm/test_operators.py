@@ -209,6 +209,59 @@ def test_licences(docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def _bigrams(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    return list(zip(w, w[1:], strict=False))
+
+
+def _best_dice(text, template):
+    """Over all runs of the text."""
+    b, own, best = _bigrams(text), set(_bigrams(template)), 0
+    for i in range(len(b)):
+        run = set()
+        for x in b[i:]:
+            run.add(x)
+            best = max(best, 2 * len(run & own) / (len(run) + len(own)))
+    return best
+
+
+def test_licences_of_any_length(spark):
+    bsd = license_scan.TEMPLATES["BSD-2-Clause"].split()
+    other = [f"w{i}" for i in range(200)]
+    cut = 3 * len(bsd) // 4
+    texts = {
+        "Apache-2.0": "Licensed under the Apache Software License, Version 2.0",
+        "BSD-2-Clause": " ".join([*bsd[: len(bsd) // 2], *other[:25], *bsd[len(bsd) // 2 :]]),
+        "BSD-2-Clause ": " ".join([*other[:50], *bsd[:cut], *other[50:]]),
+    }
+    got = {r.name: r for r in license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()}
+    for name, text in texts.items():
+        assert got[name].license == name.strip()
+        assert got[name].dice == pytest.approx(_best_dice(text, license_scan.TEMPLATES[name.strip()]))
+    assert (got["Apache-2.0"].first_word, got["Apache-2.0"].end_word) == (0, 9)
+    assert (got["BSD-2-Clause "].first_word, got["BSD-2-Clause "].end_word) == (50, 50 + len(re.findall("[A-Za-z0-9]+", " ".join(bsd[:cut]))))
+    # against all runs: pieces of templates, words lost, added and repeated
+    r = np.random.default_rng(7)
+    short = {k: v for k, v in license_scan.TEMPLATES.items() if len(v.split()) < 45}
+    random, n = [], 0
+    for _ in range(150):
+        w = []
+        for _ in range(r.integers(1, 4)):
+            own = list(short.values())[r.integers(len(short))].split()
+            for x in own[r.integers(0, 3) :]:
+                w += [] if r.random() < 0.06 else [x] * (1 + (r.random() < 0.08)) + [f"v{r.integers(9)}"] * (r.random() < 0.08)
+            w += [f"v{r.integers(9)}" for _ in range(r.integers(0, 5))]
+        random.append(" ".join(w))
+    rows = spark.createDataFrame([(t, t) for t in random], "of string, text string")
+    for row in license_scan.scan_licenses(rows, templates=short).collect():
+        dice = {k: _best_dice(row.of, v) for k, v in short.items()}
+        assert row.licenses == ",".join(sorted(k for k, d in dice.items() if d >= license_scan.LEAST_DICE))
+        if row.license:
+            n += 1
+            assert row.dice == pytest.approx(max(dice.values())) == pytest.approx(_best_dice(" ".join(re.findall("[A-Za-z0-9]+", row.of)[row.first_word : row.end_word]), short[row.license]))
+    assert n > 50
+
+
 def test_classifier(spark, docs, empty):
     r = np.random.default_rng(1)
     x = r.random((600, len(quality_classifier.STATISTICS)))
