@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field over the words around suspicious tokens.
 
-Tokens are runs of non-space characters. The field tags them as secret begin (B), inside (I) or outside (O) from their shape, their neighbours and features of the file, and is decoded by Viterbi. It is trained here, on sentences that a seeded generator writes with secrets of many kinds and with what looks like them (addresses, numbers, dates, hosts, names). A plain token (under 20 characters, none of them in TRIGGER) is always outside, in training too. As the chain is linear, the runs of other tokens between plain ones can then be decoded by themselves, with the same tags as the whole text would get.
+Tokens are runs of non-space characters. The field tags them as secret begin (B), inside (I) or outside (O) from their shape, their neighbours and features of the file, and is decoded by Viterbi. It is trained here, on sentences that a seeded generator writes with secrets of many kinds, of letters alone and of letters and marks too, and with what looks like them (addresses, numbers, dates, hosts, names, words after a keyword). Every token is judged but a plain one (under 20 characters, none of them in TRIGGER, and no mark between its letters as in MARKED) that no cue is near: no keyword in the two tokens before it or the one after, no = or : at the end of the token before. Such a token is a word like any other and always outside, in training too. As the chain is linear, the runs of judged tokens between those can then be decoded by themselves, with the same tags as the whole text would get.
 
 Spans of the patterns always stay; a tagged run adds one where no pattern's span overlaps it. A null or empty text has no spans. Texts are judged one by one; an empty table gives no rows.
 """
@@ -39,19 +39,24 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 TRIGGER = re.compile(r"[0-9_=+/@]")
+#: Marks between two letters that words don't have there.
+MARKED = re.compile(r"(?<=[^\W\d_])[!#$%&*^~?\\|]+(?=[^\W\d_])")
 LONG = re.compile(r"(?<!\S)\S{20,}")
+#: What each of KEYWORDS holds, and the end of a token that assigns.
+NEAR = re.compile(r"passw|passphrase|pwd|secret|token|key|bearer|credential|auth|private|[=:](?!\S)", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 SPACE = re.compile(r"\s")
 EDGES = "\"'`()<>[]{},;:!?#$%&*|.=~"
 KEYWORDS = {"password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "bearer", "credential", "credentials", "passphrase", "auth", "authorization", "access_key", "secret_key", "private"}
 PREFIXES = ("akia", "ghp_", "gho_", "sk-", "sk_", "xox", "eyj", "aiza", "glpat-", "-----begin")
 FEATURES = [
-    "bias", "plain", "len<8", "len<16", "len<24", "len<40", "len>=40", "lower", "upper", "title", "digits", "alnum_mixed", "hex", "base64", "three_cases", "has_mark", "email", "url", "number", "entropy<2.5", "entropy<3.5", "entropy>=3.5",
+    "bias", "plain", "len<8", "len<16", "len<24", "len<40", "len>=40", "lower", "upper", "title", "digits", "alnum_mixed", "hex", "base64", "three_cases", "has_mark", "marked", "camel", "odd_cases", "consonants", "word_marks", "email", "url", "number", "entropy<2.5", "entropy<3.5", "entropy>=3.5",
     "prefix", "assigned", "keyword", "prev_keyword", "prev2_keyword", "next_keyword", "prev_assigns", "prev_plain", "next_plain", "file_cues", "file_code", "file_numbers", "first", "last",
 ]
 F_AT = {f: i for i, f in enumerate(FEATURES)}
 TAGS = "BIO"
-#: Score of tagging a plain token as part of a secret.
+CUES = [F_AT[f] for f in ("prev_keyword", "prev2_keyword", "next_keyword", "prev_assigns")]
+#: Score of tagging a token that isn't judged as part of a secret.
 NEVER = -50.0
 
 
@@ -71,19 +76,17 @@ def _word(token: str) -> str:
 
 
 def is_plain(token: str) -> bool:
-    return len(token) < 20 and not TRIGGER.search(token)
+    return len(token) < 20 and not TRIGGER.search(token) and not MARKED.search(token)
 
 
 def own_features(token: str) -> list[int]:
-    if is_plain(token):
-        return [F_AT["bias"], F_AT["plain"], *([F_AT["keyword"]] if _word(token) in KEYWORDS else [])]
     a, b = _core(token)
     core = token[a:b]
     n = len(core)
-    out = ["bias", "len<8" if n < 8 else "len<16" if n < 16 else "len<24" if n < 24 else "len<40" if n < 40 else "len>=40"]
+    out = ["bias", *(["plain"] if is_plain(token) else []), "len<8" if n < 8 else "len<16" if n < 16 else "len<24" if n < 24 else "len<40" if n < 40 else "len>=40"]
     lower, upper, digit = (any(f(c) for c in core) for f in (str.islower, str.isupper, str.isdigit))
     if core.isalpha():
-        out.append("lower" if core.islower() else "upper" if core.isupper() else "title")
+        out += ["lower"] if core.islower() else ["upper"] if core.isupper() else ["title"] if core[1:].islower() else []
     elif core.isdigit():
         out.append("digits")
     if digit and (lower or upper):
@@ -96,6 +99,16 @@ def own_features(token: str) -> list[int]:
         out.append("base64")
     if not core.isalnum():
         out.append("has_mark")
+        if re.fullmatch(r"[^\W\d_]+(?:['\u2019.-][^\W\d_]+)+", core):
+            out.append("word_marks")
+        elif MARKED.search(core):
+            out.append("marked")
+    if re.search("[a-z][A-Z]", core):
+        out.append("camel")
+    if core.isalpha() and re.search("[A-Z][a-z]?[A-Z]", core) and lower:
+        out.append("odd_cases")
+    if re.search("[bcdfghjklmnpqrstvwxz]{5}", core, re.IGNORECASE):
+        out.append("consonants")
     if re.fullmatch(r"[^@\s]+@[\w.-]+\.\w+", core):
         out.append("email")
     if re.match(r"(https?://|www\.|/\w)", core) or re.fullmatch(r"[\w-]+(\.[\w-]+)+(/\S*)?", core) and not digit:
@@ -147,6 +160,11 @@ def matrix(tokens: list[str], file: list[int], before: list[str], after: list[st
     return x
 
 
+def unjudged(x: np.ndarray) -> np.ndarray:
+    """Which rows of features are of plain tokens without a cue."""
+    return (x[..., F_AT["plain"]] > 0) & ~(x[..., CUES] > 0).any(-1)
+
+
 class Field:
     """Weights: features by tags, and tag pairs."""
 
@@ -156,7 +174,7 @@ class Field:
     def decode(self, x: np.ndarray) -> str:
         """The likeliest tags of one run, which stands between tokens tagged O."""
         s = x @ self.w
-        s[x[:, F_AT["plain"]] > 0, :2] = NEVER
+        s[unjudged(x), :2] = NEVER
         score, back = s[0] + self.pair[2], []
         for row in s[1:]:
             ways = score[:, None] + self.pair
@@ -190,6 +208,16 @@ def training_sentences(n: int, seed: int) -> list[tuple[list[str], str]]:
             lambda: "eyJ" + some(upper + low + digits, 20, 40) + "." + some(upper + low + digits + "_-", 30, 60), lambda: some(upper + low + digits + "_-", 12, 24) + r.choice(digits),
         ])()
 
+    def lettered() -> str:
+        """Without digits: words run together, letters of mixed case or few vowels, and letters and marks."""
+        parts = ["".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(r.randint(2, 4))]
+        marks = "!#$%&*^~?"
+        return r.choice([
+            lambda: "".join(p.capitalize() for p in parts), lambda: parts[0] + "".join(p.capitalize() for p in parts[1:]), lambda: some(upper + low, 8, 19), lambda: some("bcdfghjklmnpqrstvwxz", 8, 19),
+            lambda: some(upper + low, 2, 6) + r.choice(marks) + some(upper + low, 3, 8), lambda: r.choice(marks).join(r.choice([p, p.capitalize()]) for p in parts),
+            lambda: parts[0].capitalize()[:2] + r.choice(marks) + parts[0] + r.choice("$!-.") + "-".join(p.capitalize() for p in parts[1:]),
+        ])()
+
     def innocent() -> str:
         return r.choice([
             lambda: f"{some(low, 3, 8)}.{some(digits, 1, 2)}@mail{some(digits, 1, 1)}.example.com", lambda: f"https://{some(low, 4, 9)}.example.org/{some(low, 2, 6)}/{some(digits, 1, 4)}",
@@ -207,9 +235,9 @@ def training_sentences(n: int, seed: int) -> list[tuple[list[str], str]]:
                 tags += "O"
             kind = r.random()
             if kind < 0.35:
-                s, key, quote = secret(), r.choice(sorted(KEYWORDS)), r.choice(["", "", '"', "'"])
-                key = r.choice([key, key.upper(), key.capitalize()])
                 form = r.random()
+                s, key, quote = lettered() if form < 0.8 and r.random() < 0.4 else secret(), r.choice(sorted(KEYWORDS)), r.choice(["", "", '"', "'"])
+                key = r.choice([key, key.upper(), key.capitalize()])
                 if form < 0.35:
                     tokens += [key, r.choice(["=", ":", "is"]), f"{quote}{s}{quote}{r.choice(['', '', '.', '###', ';'])}"]
                     tags += "OOB"
@@ -232,6 +260,10 @@ def training_sentences(n: int, seed: int) -> list[tuple[list[str], str]]:
                 # a keyword is no secret, nor are the words after it
                 tokens += [r.choice(sorted(KEYWORDS)), r.choice(["is", "=", ":", "of"]), word()]
                 tags += "OOO"
+            elif kind < 0.98:
+                w = r.choice(["", "-", "'"]).join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 2)))
+                tokens += [r.choice(sorted(KEYWORDS)), r.choice([w, w.capitalize(), w.upper()]), word()]
+                tags += "OOO"
         for _ in range(r.randint(1, 3)):
             tokens.append(word())
             tags += "O"
@@ -246,18 +278,18 @@ def train(n: int = 500, seed: int = 11, steps: int = 100, ridge: float = 1e-3) -
     x, y, there = np.zeros((n, longest, d)), np.full((n, longest), 2), np.zeros((n, longest), bool)
     for i, (tokens, tags) in enumerate(data):
         x[i, : len(tokens)] = matrix(tokens, file_features(" ".join(tokens)), [], [])
-        y[i, : len(tokens)] = [2 if is_plain(token) else TAGS.index(t) for token, t in zip(tokens, tags, strict=True)]
+        y[i, : len(tokens)] = np.where(unjudged(x[i, : len(tokens)]), 2, [TAGS.index(t) for t in tags])
         there[i, : len(tokens)] = True
     size = d * 3 + 9
     theta, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     flat = x.reshape(-1, d)
-    plain = x[:, :, F_AT["plain"]] > 0
+    outside = unjudged(x)
     truth = np.eye(3)[y] * there[:, :, None]
     real_pairs = np.einsum("nla,nlb->ab", truth[:, :-1], truth[:, 1:])
     for step in range(1, steps + 1):
         w, pair = theta[: d * 3].reshape(d, 3), theta[d * 3 :].reshape(3, 3)
         s = (flat @ w).reshape(n, longest, 3)
-        s[plain, :2] = NEVER
+        s[outside, :2] = NEVER
         e, p = np.exp(s), np.exp(pair)
         up, down = np.zeros_like(e), np.zeros_like(e)
         up[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
@@ -278,6 +310,15 @@ def train(n: int = 500, seed: int = 11, steps: int = 100, ridge: float = 1e-3) -
     return Field(theta[: d * 3].reshape(d, 3), theta[d * 3 :].reshape(3, 3))
 
 
+def _token_at(text: str, i: int) -> tuple[int, int]:
+    """The token that the character at i is in."""
+    a = i
+    while a and not text[a - 1].isspace():
+        a -= 1
+    gap = SPACE.search(text, i)
+    return a, gap.start() if gap else len(text)
+
+
 def field_spans(text: str, field: Field, every: bool = False) -> list[tuple[int, int]]:
     """Spans of tagged runs. every: decodes the text whole, for comparison."""
     runs: list[list[tuple[int, int]]] = []
@@ -290,14 +331,35 @@ def field_spans(text: str, field: Field, every: bool = False) -> list[tuple[int,
         for m in TRIGGER.finditer(text):
             if m.start() < end:
                 continue
-            a = m.start()
-            while a and not text[a - 1].isspace():
-                a -= 1
-            gap = SPACE.search(text, m.start())
-            end = gap.start() if gap else len(text)
+            a, end = _token_at(text, m.start())
             at[a] = end
         for m in LONG.finditer(text):
             at[m.start()] = m.end()
+        end = -1
+        for m in MARKED.finditer(text):
+            if m.start() >= end:
+                a, end = _token_at(text, m.start())
+                at[a] = end
+        end = -1
+        for m in NEAR.finditer(text):
+            if m.start() < end:
+                continue
+            a, end = _token_at(text, m.start())
+            keyword = _word(text[a:end]) in KEYWORDS
+            if not keyword and text[end - 1] not in "=:":
+                continue
+            after = TOKEN.search(text, end)
+            if after:
+                at[after.start()] = after.end()
+            if keyword:
+                after = after and TOKEN.search(text, after.end())
+                if after:
+                    at[after.start()] = after.end()
+                b = a
+                while b and text[b - 1].isspace():
+                    b -= 1
+                if b:
+                    at[_token_at(text, b - 1)[0]] = b
         for a in sorted(at):
             if runs and not text[runs[-1][-1][1] : a].strip():
                 runs[-1].append((a, at[a]))

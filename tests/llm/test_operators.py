@@ -202,6 +202,20 @@ def test_secrets(docs, empty):
     assert secret_scan.redact(TEXTS[12], field) == "[SECRET]' and [SECRET] [SECRET]"
 
 
+def test_secrets_without_digits():
+    field = secret_scan.train()
+    for text, secret in [
+        ("password: Tr!cky$Pass-Word", "Tr!cky$Pass-Word"), ("passphrase is CorrectHorseBattery", "CorrectHorseBattery"), ("and the pwd = 'qWxTzRb' now", "qWxTzRb"),
+        ("The Secret   is\n\tOpen#Sesame, keep it", "Open#Sesame"), ("a line. token: xkqvbnmwrt", "xkqvbnmwrt"),
+    ]:
+        got = secret_scan.field_spans(text, field)
+        assert [text[a:b] for a, b in got] == [secret]
+        assert got == secret_scan.field_spans(text, field, every=True)
+        assert secret_scan.redact(text, field) == text.replace(secret, "[SECRET]")
+    for text in ["the password is required for login", "Password: required", "token of appreciation", "The key is under the mat.", "private Key Holder", "Note: This is well-known, see Mary's book", "rock&roll and AT&T!"]:
+        assert secret_scan.field_spans(text, field) == secret_scan.field_spans(text, field, every=True) == []
+
+
 def test_licences(docs, empty):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert (got[13].license, got[13].dice, got[13].first_word, got[13].end_word) == ("MIT", 1.0, 0, 5)
