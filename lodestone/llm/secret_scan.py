@@ -319,6 +319,20 @@ def _token_at(text: str, i: int) -> tuple[int, int]:
     return a, gap.start() if gap else len(text)
 
 
+def _tokens_before(text: str, end: int, most: int = 2) -> list[str]:
+    """The last tokens before a place, however far off."""
+    out = []
+    while len(out) < most:
+        while end and text[end - 1].isspace():
+            end -= 1
+        if not end:
+            break
+        a = _token_at(text, end - 1)[0]
+        out.insert(0, text[a:end])
+        end = a
+    return out
+
+
 def field_spans(text: str, field: Field, every: bool = False) -> list[tuple[int, int]]:
     """Spans of tagged runs. every: decodes the text whole, for comparison."""
     runs: list[list[tuple[int, int]]] = []
@@ -368,9 +382,8 @@ def field_spans(text: str, field: Field, every: bool = False) -> list[tuple[int,
     out = []
     file = file_features(text) if runs else []
     for run in runs:
-        near = text[max(0, run[0][0] - 200) : run[0][0]].split()[-2:]
-        after = text[run[-1][1] : run[-1][1] + 200].split()[:1]
-        tags = field.decode(matrix([text[a:b] for a, b in run], file, near, after))
+        after = TOKEN.search(text, run[-1][1])
+        tags = field.decode(matrix([text[a:b] for a, b in run], file, _tokens_before(text, run[0][0]), [after[0]] if after else []))
         for i, t in enumerate(tags):
             a, b = run[i]
             lo, hi = _core(text[a:b])

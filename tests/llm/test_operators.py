@@ -216,6 +216,19 @@ def test_secrets_without_digits():
         assert secret_scan.field_spans(text, field) == secret_scan.field_spans(text, field, every=True) == []
 
 
+def test_secrets_in_padded_text():
+    field = secret_scan.train()
+    for gap in (" " * 300, "\n" * 1000, "\t" * 199 + "  "):
+        for words, secret in [(["see", "passphrase", "is", "Correct#Horse", "and", "on"], "Correct#Horse"), (["the", "token", "=", "ghp_" + "a1B2" * 9, "ok"], "ghp_" + "a1B2" * 9), (["password:", "CorrectHorseBattery"], "CorrectHorseBattery")]:
+            text = gap.join(words)
+            got = secret_scan.field_spans(text, field)
+            assert got == secret_scan.field_spans(text, field, every=True)
+            assert [text[a:b] for a, b in got] == [secret]
+            # as in the text without padding
+            plain = " ".join(words)
+            assert [plain[a:b] for a, b in secret_scan.field_spans(plain, field)] == [secret]
+
+
 def test_licences(docs, empty):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert (got[13].license, got[13].dice, got[13].first_word, got[13].end_word) == ("MIT", 1.0, 0, 5)
