@@ -21,13 +21,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id. Rows without an id stay; of rows that repeat an id one stays."""
-    found = near_duplicates.near_duplicates(docs)
-    copies = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    repeated = small(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
-    kept = docs.join(copies, F.col("doc_id") == F.col("_id"), "left_anti")
-    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each group of near duplicates: that with the least id. Rows without an id stay; of rows that repeat an id and a text one stays; unequal texts of one id are documents of their own."""
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    if repeated.isEmpty():
+        found = near_duplicates.near_duplicates(docs)
+        copies = small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")))
+        return docs.join(copies, F.col("doc_id") == F.col("_id"), "left_anti")
+    names = docs.columns
+    keyed = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left").withColumn("_key", F.when(F.col("_id").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    found = near_duplicates.near_duplicates(keyed.select("_key", "text"), key="_key").where("_key is not null").select(F.col("_key").alias("_of"), "component_id").distinct()
+    found = found.join(keyed.where("doc_id is not null").select("_key", "doc_id").distinct(), F.col("_of") == F.col("_key")).groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_first"))
+    kept = keyed.join(found.select(F.col("_first._key").alias("_of")), F.col("_key") == F.col("_of"), "left_semi")
+    again = F.col("_id").isNotNull()
+    return docs.where("doc_id is null").unionByName(kept.where(~again).select(*names)).unionByName(kept.where(again).dropDuplicates(["_key"]).select(*names))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,22 @@ def test_near_duplicates(docs, empty, monkeypatch, long):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_keeps_texts_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    for made, want in [
+        ([(5, a), (5, b), (3, a)], [(3, a), (5, b)]),
+        ([(5, a), (5, b), (7, a)], [(5, a), (5, b)]),
+        ([(5, a), (5, a), (5, b), (7, a + " tail"), (8, b), (2, c), (None, a), (None, a)], [(2, c), (5, a), (5, b), (None, a), (None, a)]),
+        ([(5, None), (5, ""), (5, a), (5, None)], [(5, None), (5, ""), (5, a)]),
+        ([(5, a), (7, a), (8, b)], [(5, a), (8, b)]),
+    ]:
+        got = corpus_pipeline.deduplicate(spark, spark.createDataFrame([(*r, "s") for r in made], "doc_id long, text string, source string"), "")
+        assert got.columns == ["doc_id", "text", "source"]
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
 def test_quality_rules(docs, empty):
     for r in quality_rules.ledger(docs).collect():
         t = next(x[1] for x in rows() if x[0] == r.doc_id) or ""
