@@ -305,6 +305,15 @@ def test_licences_of_any_length(spark):
     assert n > 50
 
 
+def test_usual_licence_notices():
+    known, texts = license_scan.Templates(license_scan.TEMPLATES), {"Licensed under the MIT License": "MIT-notice", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "Unlicense", "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0", "Licensed under the BSD 3-Clause License": "BSD-3-Clause-notice"}
+    for text, name in texts.items():
+        data = np.frombuffer(text.encode(), np.uint8)
+        b = license_scan.runs(license_scan.words(data, np.array([0, len(data)]), license_scan.ALNUM_WORDS)[0], 2)
+        best = max(known.match(b))
+        assert (best[0], best[1]) == (1.0, name)
+
+
 def test_classifier(spark, docs, empty):
     r = np.random.default_rng(1)
     x = r.random((600, len(quality_classifier.STATISTICS)))
