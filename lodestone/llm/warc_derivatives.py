@@ -76,9 +76,11 @@ def derive(df: DataFrame, page: str = "page_id", url: str = "url", html: str = "
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes records as WARC 1.1 files by Spark's text writer; the two line ends after a record are its separator."""
+    """Writes records as WARC 1.1 files by Spark's text writer; the two line ends after a record are its separator. The source headers are one field, in which \\r, \\n and \\\\ stand for line ends and backslashes; read_warc gives them back as they were."""
     line = F.lit("\r\n")
-    http = F.regexp_replace(F.regexp_replace("source_headers", "[\r\n]+$", ""), "\r?\n", " | ")
+    http = F.col("source_headers")
+    for plain, by in (("\\", "\\\\"), ("\r", "\\r"), ("\n", "\\n")):
+        http = F.replace(http, F.lit(plain), F.lit(by))
     head = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("Content-Type", "content_type"), ("WARC-Block-Digest", "digest"), ("WARC-Source-Payload-Digest", "source_digest")]
     parts = [x for name, c in head for x in (F.lit(f"{name}: "), F.col(c), line)]
     value = F.concat(F.lit("WARC/1.1\r\n"), *parts, F.lit("WARC-Source-Headers: "), http, line, F.lit("Content-Length: "), F.octet_length("block").cast("string"), line, line, F.col("block"))
@@ -91,6 +93,8 @@ def _parse(data: bytes) -> Iterator[dict]:
         end = data.index(b"\r\n\r\n", at)
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in data[at + 10 : end].decode().split("\r\n"))
         n = int(fields.pop("Content-Length"))
+        if "WARC-Source-Headers" in fields:
+            fields["WARC-Source-Headers"] = re.sub(r"\\(.)", lambda m: {"r": "\r", "n": "\n"}.get(m[1], m[1]), fields["WARC-Source-Headers"])
         yield {"fields": fields, "block": data[end + 4 : end + 4 + n].decode()}
         at = end + 4 + n + 4
 

@@ -340,3 +340,12 @@ def test_warc(spark, tmp_path):
     warc_derivatives.write_warc(records, str(tmp_path / "w"))
     back = warc_derivatives.read_warc(spark, str(tmp_path / "w")).collect()
     assert sorted((r.fields["WARC-Record-ID"], r.block) for r in back) == sorted((r.record_id, r.block) for r in got)
+
+
+def test_warc_source_headers(spark, tmp_path):
+    headers = ["HTTP/1.1 200 OK\r\nSet-Cookie: a | b\r\nX: c:\\new\\real\r\n\r\n", "HTTP/1.0 404\nA: b", ""]
+    pages = spark.createDataFrame([(i, "u", "<p>x", h) for i, h in enumerate(headers)], "page_id long, url string, html string, http string")
+    records = warc_derivatives.derive(pages, headers="http")
+    warc_derivatives.write_warc(records, str(tmp_path / "w"))
+    back = {r.fields["WARC-Record-ID"]: r.fields["WARC-Source-Headers"] for r in warc_derivatives.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert back == {r.record_id: r.source_headers for r in records.collect()}
