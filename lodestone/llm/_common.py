@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
@@ -17,12 +19,15 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Sets one under /tmp only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary one; a cluster's executors would each write to a disk of their own, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = getattr(shared_dir, "own", None)
         if path is None:
             path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
     return path.rstrip("/")
 
 
@@ -53,6 +58,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """For tables that a result still reads: they go when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files of finished stages go once the driver has collected its garbage; long jobs ask for it between stages."""
     import gc
@@ -86,6 +97,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns: rows with equal ones are equal. Maps and variants, which can't be hashed, go in as JSON."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _unhashed(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]
+    # nulls leave a hash as it is, so where they are goes in too
+    nulls = F.concat(F.lit(""), *[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in df.columns])
+    return [F.xxhash64(F.lit(salt), nulls, *plain) for salt in (1, 2)]
+
+
+def _unhashed(kind) -> bool:
+    return any(name in kind.simpleString() for name in ("map<", "variant"))
+
+
 def n_words(text):
     """Words `[^\\x20\\x09-\\x0D]+` of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -2,7 +2,7 @@
 
 Each source's documents stand in a seeded order, dealt over strata (hash ranges, called shards here), and are cut into blocks of equally many words; how many is chosen for each source by its own size and target, so a source that is small beside the corpus has blocks as fine for it as a large one has. Sainte-Lague gives each source a whole number of words by its target. These are counted in blocks of the source's mean block, as the last of a shard is only part full, and Sainte-Lague divides them over its shards by their numbers of blocks. In a shard with n blocks and quota q every block is taken q // n times, and q % n blocks in a row, from a seeded one on, once more; since the order is seeded, that run is a random set of documents.
 
-Null or empty texts have size 0 and nothing is taken from them; a null source is a source of its own, after all others. Repeated rows are documents of their own. An empty table gives no rows. Nothing is collected: only per-source and per-shard sums meet in one task.
+Null or empty texts have size 0 and nothing is taken from them; a null source is a source of its own, after all others. Repeated rows are documents of their own. Very long texts are cut like others. An empty table gives no rows. Nothing is collected: what meets in one task is a row for each source (a few dozen bytes, so a million sources would do), and one for each of a source's shards.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, n_words
+from ._common import documents, n_words, row_keys
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-SHARDS = 128
+#: Strata of a source: so many at least, and one for so many rows of the corpus, so that none grows with it.
+SHARDS, SHARD_ROWS = 128, 1 << 17
 #: Blocks for what is taken of each source once, and the most words of a block.
 BLOCKS, BLOCK_WORDS = 1 << 16, 4096
 
@@ -93,7 +94,7 @@ def _shard_quotas(most: float):
     return quotas
 
 
-def mix_plan(sized: DataFrame, seed: int, weights=WEIGHTS, most=MAX_REPEATS, shards=SHARDS, blocks=BLOCKS, block_words=BLOCK_WORDS) -> DataFrame:
+def mix_plan(sized: DataFrame, seed: int, weights=WEIGHTS, most=MAX_REPEATS, blocks=BLOCKS, block_words=BLOCK_WORDS) -> DataFrame:
     """sized: columns source, size, shard. A row for each source and shard: its blocks and quota."""
     by_shard = sized.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     by_source = by_shard.groupBy("source").agg(F.sum("shard_size").alias("source_size"))
@@ -106,58 +107,65 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(b, d) - F.greatest(a, c))
 
 
+#: What mix adds.
+ADDED = ("source_size", "target", "passes", "lo1", "hi1", "lo2", "hi2", "taken")
+
+
 def mix(df: DataFrame, seed: int = 17, size: str = "size", source: str = "source", order: tuple[str, ...] = ("doc_id",), **plan) -> DataFrame:
     """df has a size in words and a source for each row; adds source_size, target, taken, and the parts taken besides whole passes:
-    `passes` times the whole row, and words [lo1, hi1) and [lo2, hi2) of it once more."""
-    shards = plan.get("shards", SHARDS)
-    h = F.xxhash64(F.lit(seed), *order)
-    df = df.withColumns({"_h": h, "_shard": F.pmod(F.shiftright(h, 20), F.lit(shards)).cast("int")})
-    sized = df.select(F.col(source).alias("source"), F.col(size).alias("size"), F.col("_shard").alias("shard"))
-    p = mix_plan(sized, seed, **plan).select(
-        F.col("source").alias("_ps"), F.col("shard").alias("_pk"), "source_size", "target", "block", "blocks", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long").alias("passes"), F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0).cast("long").alias("_more")
+    `passes` times the whole row, and words [lo1, hi1) and [lo2, hi2) of it once more. Columns of df with those names are replaced; others, whatever their names, are kept."""
+    kept = [c for c in df.columns if c not in ADDED]
+    # df's own columns travel in a struct, so no name of theirs meets one of ours
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.lit(None).alias("row")
+    own = df.select(row, F.col(f"`{size}`").alias("size"), F.col(f"`{source}`").alias("source"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in order]).alias("h"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)])
+    shards = plan.pop("shards", None) or max(SHARDS, -(-df.count() // SHARD_ROWS))
+    own = own.withColumn("shard", F.pmod(F.shiftright("h", 20), F.lit(shards)).cast("int"))
+    p = mix_plan(own.select("source", "size", "shard"), seed, **plan).select(
+        F.col("source").alias("ps"), F.col("shard").alias("pk"), "source_size", "target", "block", "blocks", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long").alias("passes"), F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0).cast("long").alias("more")
     )
     # where the seeded run of blocks begins; it may wrap round the shard's end
-    p = p.withColumn("_first", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "_ps", "_pk"), F.col("blocks"))).otherwise(0))
-    run = W.partitionBy(source, "_shard").orderBy("_h", *order, size).rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("_end", F.sum(size).over(run))
-    df = df.join(p, F.col(source).eqNullSafe(F.col("_ps")) & (F.col("_shard") == F.col("_pk")))
-    begin, end = F.col("_end") - F.col(size), F.col("_end")
-    stop = F.col("_first") + F.col("_more")
-    a1, b1 = F.col("_first") * F.col("block"), F.least(stop, F.col("blocks")) * F.col("block")
+    p = p.withColumn("first", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "ps", "pk"), F.col("blocks"))).otherwise(0))
+    run = W.partitionBy("source", "shard").orderBy("h", *[f"o{i}" for i in range(len(order))], "size").rowsBetween(W.unboundedPreceding, 0)
+    own = own.withColumn("end", F.sum("size").over(run))
+    own = own.join(p, F.col("source").eqNullSafe(F.col("ps")) & (F.col("shard") == F.col("pk")))
+    begin, end = F.col("end") - F.col("size"), F.col("end")
+    stop = F.col("first") + F.col("more")
+    a1, b1 = F.col("first") * F.col("block"), F.least(stop, F.col("blocks")) * F.col("block")
     b2 = F.greatest(F.lit(0).cast("long"), stop - F.col("blocks")) * F.col("block")
-    df = df.withColumns({
+    own = own.withColumns({
         "lo1": F.greatest(F.lit(0).cast("long"), a1 - begin),
         "hi1": F.greatest(F.lit(0).cast("long"), a1 - begin) + _overlap(begin, end, a1, b1),
         "lo2": F.lit(0).cast("long"),
         "hi2": _overlap(begin, end, F.lit(0).cast("long"), b2),
     })
-    df = df.withColumn("taken", F.col("passes") * F.col(size) + F.col("hi1") - F.col("lo1") + F.col("hi2") - F.col("lo2"))
-    return df.drop("_h", "_shard", "_end", "_ps", "_pk", "block", "blocks", "_more", "_first")
+    own = own.withColumn("taken", F.col("passes") * F.col("size") + F.col("hi1") - F.col("lo1") + F.col("hi2") - F.col("lo2"))
+    return own.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *ADDED)
 
 
 def mix_documents(df: DataFrame, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id", **plan) -> DataFrame:
-    """The mixed corpus: each document as often as it is taken, in the columns it came with. Only documents at the ends of a seeded run are cut, at words, with a space between those kept; a document without words goes, since nothing is taken from it. n_chars, if there, counts a cut text's characters anew."""
+    """The mixed corpus: each document as often as it is taken, in the columns it came with. Only documents at the ends of a seeded run are cut, at words, with a space between those kept; a document without words goes, since nothing is taken from it. n_chars, if there, counts a cut text's characters anew. Rows that share an id but differ in any column are documents of their own; equal rows are decided one by one and written as often as all of them are taken."""
     names = df.columns
-    df = df.withColumns({"_size": n_words(F.col(text)), "_text": F.xxhash64(text)})
-    same = [key, source, "_text", "_size"]
-    decided = mix(df.select(*same), seed, "_size", source, (key, "_text"), **plan)
+    k1, k2 = row_keys(df)
+    rows = df.select(k1.alias("k1"), k2.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    same = df.select(n_words(F.col(f"`{text}`")).alias("size"), F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("id"), k1.alias("k1"), k2.alias("k2"))
+    decided = mix(same, seed, "size", "source", ("id", "k1", "k2"), **plan)
     parts = F.array(*[F.struct(F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i in (1, 2)])
-    whole = [(F.col(f"hi{i}") - F.col(f"lo{i}") == F.col("_size")).cast("long") for i in (1, 2)]
-    decided = decided.where("taken > 0").select(*[F.col(c).alias(f"_of{c}") for c in same[:3]], (F.col("passes") + whole[0] + whole[1]).alias("_passes"), F.filter(parts, lambda p: (p["hi"] > p["lo"]) & (p["hi"] - p["lo"] < F.col("_size"))).alias("_parts"))
-    # repeated rows have decisions of their own, which are added up; only rows at the ends of a run have parts
-    decided = decided.groupBy(*[f"_of{c}" for c in same[:3]]).agg(F.sum("_passes").alias("_passes"), F.flatten(F.collect_list("_parts")).alias("_parts"))
-    on = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in same[:3]]
-    rows = df.dropDuplicates(same[:3]).join(decided, on[0] & on[1] & on[2])
+    whole = [(F.col(f"hi{i}") - F.col(f"lo{i}") == F.col("size")).cast("long") for i in (1, 2)]
+    decided = decided.where("taken > 0").select("k1", "k2", (F.col("passes") + whole[0] + whole[1]).alias("passes"), F.filter(parts, lambda p: (p["hi"] > p["lo"]) & (p["hi"] - p["lo"] < F.col("size"))).alias("parts"))
+    # equal rows have decisions of their own, which are added up; only rows at the ends of a run have parts
+    decided = decided.groupBy("k1", "k2").agg(F.sum("passes").alias("passes"), F.flatten(F.collect_list("parts")).alias("parts"))
+    # rows with equal keys are equal, so it is all one which of them is kept; both steps deal rows by the same keys
+    rows = rows.groupBy("k1", "k2").agg(F.first("row").alias("row")).join(decided, ["k1", "k2"])
     no_part = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-    copies = F.when(F.col("_passes") > 0, F.array_repeat(no_part, F.col("_passes").cast("int"))).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
-    rows = rows.withColumn("_part", F.explode(F.concat(copies, "_parts")))
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
-    cut = F.array_join(F.slice(words, (F.col("_part.lo") + 1).cast("int"), (F.col("_part.hi") - F.col("_part.lo")).cast("int")), " ")
-    is_cut = F.col("_part.hi") > 0
-    rows = rows.withColumn(text, F.when(is_cut, cut).otherwise(F.col(text)))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(is_cut, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    copies = F.when(F.col("passes") > 0, F.array_repeat(no_part, F.col("passes").cast("int"))).otherwise(F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
+    rows = rows.select("row", F.explode(F.concat(copies, "parts")).alias("part"))
+    own = F.col(f"row.`{text}`")
+    words = F.regexp_extract_all(own, F.lit(r"([^\x20\x09-\x0D]+)"))
+    cut = F.array_join(F.slice(words, (F.col("part.lo") + 1).cast("int"), (F.col("part.hi") - F.col("part.lo")).cast("int")), " ")
+    is_cut = F.col("part.hi") > 0
+    rows = rows.select("row", is_cut.alias("is_cut"), F.when(is_cut, cut).otherwise(own).alias("text"))
+    made = {text: F.col("text")} | ({"n_chars": F.when(F.col("is_cut"), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in names and text != "n_chars" else {})
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
