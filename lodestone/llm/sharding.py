@@ -14,6 +14,8 @@ from ._common import documents
 #: Multiplier of the 64-bit linear congruential generator in Lamping and Veach (2014).
 MULTIPLIER = 2862933555777941757
 _32, _16 = 0xFFFFFFFF, 0xFFFF
+#: Rows of all shards for one more bucket in each, and buckets up to which their counts are broadcast.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 18, 1 << 14
 
 
 def _times(high: Column, low: Column) -> tuple[Column, Column]:
@@ -60,16 +62,18 @@ def assign_shards(df: DataFrame, key: str, shards: int, grown: int | None = None
     return df if grown is None else df.withColumn("grown_shard", jump_shard(F.col(key), grown))
 
 
-def number_slots(df: DataFrame, shard: str, order: list[str], buckets: int = 256) -> DataFrame:
-    """Adds `slot`: 0, 1, 2, ... without gaps in each shard. Rows are numbered in hash buckets of a shard, and buckets by running counts, so no task holds a shard."""
+def number_slots(df: DataFrame, shard: str, order: list[str], buckets: int | None = None) -> DataFrame:
+    """Adds `slot`: 0, 1, 2, ... without gaps in each shard. Rows are numbered in hash buckets of a shard, of which there are more the more rows there are, and buckets by running counts, so no task holds a shard."""
+    buckets = buckets or max(256, -(-df.count() // BUCKET_ROWS))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = df.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(W.partitionBy(shard, "_bucket").orderBy(*order))
     df = df.withColumn("_row", inside)
-    # shards x buckets rows at most: a fixed bound
-    return df.join(F.broadcast(starts), (df[shard] == starts["_shard"]) & (df["_bucket"] == starts["_of"])).withColumn("slot", F.col("_start") + F.col("_row") - 1).drop("_bucket", "_row", "_start", "_shard", "_of")
+    # a row for each shard and bucket, which are few beside the rows; broadcast while surely small
+    starts = F.broadcast(starts) if buckets <= MOST_BUCKETS else starts
+    return df.join(starts, (df[shard] == starts["_shard"]) & (df["_bucket"] == starts["_of"])).withColumn("slot", F.col("_start") + F.col("_row") - 1).drop("_bucket", "_row", "_start", "_shard", "_of")
 
 
 def write_shards(df: DataFrame, key: str, shards: int, path: str) -> None:
