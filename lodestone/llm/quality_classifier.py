@@ -2,7 +2,7 @@
 
 Small boosted trees are grown on statistics of labelled texts; every path from a root is a rule (a conjunction of thresholds). A logistic regression with a lasso penalty weighs the rules, and those it keeps are compiled into one Spark column expression. All texts are then scored by Spark's own functions.
 
-Fitted on at most SAMPLE_ROWS labelled rows, the first by a hash of the id. Null, empty or blank texts have all statistics 0 and are scored like any other. Repeated rows get equal scores. Without labelled rows of both classes, or with an empty table, every score is 0.5.
+Fitted on at most SAMPLE_ROWS labelled rows, the first by a hash of the id; of rows that share an id the one with the least statistics counts. Null, empty or blank texts have all statistics 0 and are scored like any other. Repeated rows get equal scores. Without labelled rows of both classes, or with an empty table, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -164,7 +164,9 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # at most `rows` rows: a fixed bound
     joined = df.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id").select("_id", "_y", "text")
-    got = statistics(joined).orderBy("_id", *STATISTICS).limit(2 * rows).toPandas()
+    # a row for each id: of rows that repeat it, that with the least statistics
+    once = statistics(joined).groupBy("_id").agg(F.min(F.struct("_y", *STATISTICS)).alias("_row"))
+    got = once.select("_id", "_row.*").orderBy("_id").toPandas()
     return fit(got[list(STATISTICS)].to_numpy(float), got["_y"].to_numpy(float)) if len(got) else (0.0, [])
 
 
