@@ -3,7 +3,7 @@
 1. A sketch: every document adds its distinct shingles to 2**SKETCH_BITS counters, whose sums over the whole corpus put shingles in one global order, rare before frequent. Any fixed order gives right results; this one keeps common lines and passages out of prefixes. The sketch has a fixed size, and is what is broadcast.
 2. A document of n shingles has as prefix its first n - ceil(t * n) + 1. Documents with equal prefixes and sizes collapse into a group, and inside it those with equal sets (a 128-bit sum of hashes) into a class. From here on copies cost nothing.
 3. Groups post their prefix shingles. First each group is paired with the leader of a posting (of a cell of it, where the sketch says that a posting is long): the group in which the posting's shingle comes first. Only the most frequent partner counts: a number of pairs linear in the groups. Pairs are verified on whole sets, and links united.
-4. Only postings that hold several components after that can hold a link that still matters. Those are expanded to members, and all pairs of members of different components that the size and overlap bounds leave are verified on whole sets. So no link between two components is missed, and no large group of copies or near copies is paired with itself.
+4. Only postings that hold several components after that can hold a link that still matters. Their groups are paired, a long posting being dealt over several tasks, and pairs of groups are held against the size and overlap bounds, which are the same for all members of a group. What is left is expanded to members of different components, as is a group that holds several by itself, and verified on whole sets. So no link between two components is missed, and no large group of copies or near copies is paired with itself.
 5. Connected components by alternating large-star and small-star steps.
 
 Shingles are compared by 64-bit hashes. A null, empty or blank text has no shingles and no links. A row whose id is null has no links and a null component. Rows that share an id are one document. An empty table gives no rows.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import Stages, documents, releasing, small
+from ._common import Stages, delete_at_exit, documents, releasing, small
 from ._words import BLANK_WORDS, mix, runs, text_slices, whole, words
 
 SHINGLE = 5
@@ -30,8 +30,10 @@ PERCENT = 75
 SKETCH_BITS, SLOTS, FAN_IN = 22, 64, 64
 #: A posting that may be longer than this is dealt out to cells.
 CELL = 8192
-#: A posting over several components with more rows than this is a long one.
-LONG = 64
+#: A posting over several components with more groups than this is a long one; a task pairs so many of its groups with all others.
+LONG, MEET = 64, 4096
+#: Classes that so many documents share at least, and one in so many of all documents, are broadcast to them.
+HOT, HOT_SHARE = 256, 1_000_000
 U = np.uint64
 
 
@@ -243,6 +245,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     df = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     ranks = spark.sparkContext.broadcast(frequency_ranks(df.select("_text"), stages, k))
     docs = stages.write(df.mapInArrow(releasing(_prefixes(ranks, k, percent)), PREFIXES), "docs")
+    ranks.destroy()
 
     linked = docs.where("doc_id is not null and n > 0")
     groups = linked.groupBy("n", "g1", "g2").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.min("d1").alias("lo"), F.max("d1").alias("hi"))
@@ -257,9 +260,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     posted = posted.where((F.col("_rows") > 1) | F.col("_several") | (longest > CELL))
     posted = stages.write(posted.select("token", "cell", "gid", "n", "pos", F.col("lead.gid").alias("lid"), F.col("lead.n").alias("ln")), "posted")
 
-    classes = linked.groupBy("n", "g1", "g2", "d1", "d2").agg(F.min("doc_id").alias("cid"))
+    classes = linked.groupBy("n", "g1", "g2", "d1", "d2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"))
     own = classes.join(linked.groupBy("n", "g1", "g2").agg(F.min("doc_id").alias("gid")), ["n", "g1", "g2"])
-    classes = stages.write(own.select("n", "d1", "cid", "gid"), "classes")
+    classes = stages.write(own.select("n", "d1", "cid", "gid", "copies"), "classes")
 
     # linear pairs: a group with its most frequent leader, a cell's leader with its posting's, a class with its group's first
     bound = F.col("c") + F.greatest(_rest(F.col("n"), percent), _rest(F.col("ln"), percent)) >= _overlap(F.col("n"), F.col("ln"), percent)
@@ -282,45 +285,64 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     # what those pairs left: postings over several components
     known = classes.join(labels, F.col("cid") == F.col("node"), "left").select("gid", "n", "d1", "cid", F.coalesce("label", "cid").alias("label"))
     known = stages.write(known, "known")
-    span = known.groupBy("gid", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), "lo", "hi")
-    post = posted.select("token", "gid", "n", "pos").join(span, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "gid", "n", "pos", "lo", "hi")
+    span = known.groupBy("gid", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left = span.select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), "lo", "hi")
+    post = posted.select("token", "gid", "n", "pos").join(left, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "gid", "n", "pos", "lo", "hi")
     post = stages.write(post, "post")
-    mixed = post.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select(F.col("token").alias("_token"))
-    post = post.select("token", "gid", "n", "pos").join(mixed, F.col("token") == F.col("_token"), "left_semi")
-    members = known.select(F.col("gid").alias("_gid"), F.col("n").alias("_n"), "d1", "cid", "label")
-    post = stages.write(post.join(members, (F.col("gid") == F.col("_gid")) & (F.col("n") == F.col("_n"))).select("token", "pos", "cid", "n", "d1", "label"), "mixed")
+    mixed = post.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("_rows")).where("lo < hi").select(F.col("token").alias("_token"), "_rows")
+    post = post.join(mixed, F.col("token") == F.col("_token")).drop("_token")
     # shingles before this one that can be shared with another component, those of them in long postings, and shingles after it
-    long = small(stages.write(post.groupBy("token").agg(F.count("*").alias("_rows")).where(F.col("_rows") > LONG).select(F.col("token").alias("_token")), "long"))
-    post = post.join(long, F.col("token") == F.col("_token"), "left").withColumn("hot", F.col("_token").isNotNull().cast("int")).drop("_token")
-    member = W.partitionBy("cid", "n", "d1")
-    so_far = member.orderBy("token").rowsBetween(W.unboundedPreceding, W.currentRow)
-    post = post.withColumns({"before": F.row_number().over(member.orderBy("token")) - 1, "hots": F.sum("hot").over(so_far) - F.col("hot"), "all_hot": F.sum("hot").over(member), "after": F.col("n") - F.col("pos") - 1})
+    post = post.withColumn("hot", (F.col("_rows") > LONG).cast("int"))
+    group = W.partitionBy("gid", "n")
+    so_far = group.orderBy("token").rowsBetween(W.unboundedPreceding, W.currentRow)
+    post = post.withColumns({"before": F.row_number().over(group.orderBy("token")) - 1, "hots": F.sum("hot").over(so_far) - F.col("hot"), "all_hot": F.sum("hot").over(group), "after": F.col("n") - F.col("pos") - 1})
+    deals = F.ceil(F.col("_rows") / MEET).cast("int")
 
     def side(x: str) -> DataFrame:
-        return post.select(F.col("token").alias(f"t{x}"), F.col("hot").alias(f"o{x}"), F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("d1").alias(f"d{x}"), F.col("label").alias(f"l{x}"), F.when(F.col("hot") == 1, F.col("hots")).otherwise(F.col("before")).alias(f"p{x}"), F.col("all_hot").alias(f"h{x}"), F.col("after").alias(f"r{x}"))
+        deal = F.pmod(F.xxhash64("gid", "n"), deals).cast("int") if x == "a" else F.explode(F.sequence(F.lit(0), deals - 1))
+        before = F.when(F.col("hot") == 1, F.col("hots")).otherwise(F.col("before"))
+        return post.select(F.col("token").alias(f"t{x}"), deal.alias(f"e{x}"), F.col("hot").alias(f"o{x}"), F.col("gid").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}"), before.alias(f"p{x}"), F.col("all_hot").alias(f"h{x}"), F.col("after").alias(f"r{x}"))
 
     # a pair that shares an earlier shingle of a short posting is met there; at a long posting only pairs count that can link without one
     most = F.least("pa", "pb") + 1 + F.least("ra", "rb")
     least = _overlap(F.col("na"), F.col("nb"), percent)
-    met = side("a").join(side("b"), (F.col("ta") == F.col("tb")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & _sizes(F.col("na"), F.col("nb"), percent) & (most >= least))
-    met = met.groupBy("a", "na", "da", "b", "nb", "db").agg(F.sum(1 - F.col("oa")).alias("c"), F.max(F.least("ha", "hb")).alias("h"))
+    once = (F.col("ga") < F.col("gb")) | ((F.col("ga") == F.col("gb")) & (F.col("na") < F.col("nb")))
+    apart = F.least("loa", "lob") < F.greatest("hia", "hib")
+    met = side("a").join(side("b"), (F.col("ta") == F.col("tb")) & (F.col("ea") == F.col("eb")) & once & apart & _sizes(F.col("na"), F.col("nb"), percent) & (most >= least))
+    met = met.groupBy("ga", "na", "gb", "nb").agg(F.sum(1 - F.col("oa")).alias("c"), F.max(F.least("ha", "hb")).alias("h"))
     # long postings that both are in are counted whole, as not all of them were met
-    met = met.where(F.col("c") + F.col("h") + F.greatest(_rest(F.col("na"), percent), _rest(F.col("nb"), percent)) >= least).drop("c", "h")
-    pairs = stages.write(met, "pairs-2")
+    met = met.where(F.col("c") + F.col("h") + F.greatest(_rest(F.col("na"), percent), _rest(F.col("nb"), percent)) >= least).select("ga", "na", "gb", "nb")
+    alone = span.where("lo < hi").select(F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("gid").alias("gb"), F.col("n").alias("nb"))
+    met = stages.write(met.unionByName(alone), "groups-met")
+
+    # members of the groups that are left
+    a, b = (known.select(F.col("gid").alias(f"_g{x}"), F.col("n").alias(f"_n{x}"), F.col("d1").alias(f"d{x}"), F.col("cid").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    pairs = met.join(a, (F.col("ga") == F.col("_ga")) & (F.col("na") == F.col("_na"))).join(b, (F.col("gb") == F.col("_gb")) & (F.col("nb") == F.col("_nb")))
+    same = (F.col("ga") == F.col("gb")) & (F.col("na") == F.col("nb"))
+    pairs = pairs.where((F.col("la") != F.col("lb")) & (~same | (F.col("la") < F.col("lb")))).select("a", "na", "da", "b", "nb", "db")
+    pairs = stages.write(pairs, "pairs-2")
     more = verified(df, pairs, stages, "rest", k, percent)
     labels = components(links.union(more), stages, "all")
+    labels = stages.write(labels, "labels-all")
     final = stages.write(docs_components(docs, classes, labels), "result")
     result = stages.paths.pop("result")
+    delete_at_exit(spark, result)
     stages.drop()
     return spark.read.schema(final.schema).parquet(result).withColumnRenamed("doc_id", key)
 
 
 def docs_components(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The component of each document by its class. A class of many documents would meet them in one task, so those are broadcast: each has one in HOT_SHARE of all documents at least, so there are HOT_SHARE of them at most."""
     docs = docs.select("doc_id", "n", "d1")
-    classes = classes.select(F.col("n").alias("_n"), F.col("d1").alias("_d1"), "cid")
-    own = classes.join(labels, F.col("cid") == F.col("node"), "left").groupBy("_n", "_d1").agg(F.min(F.coalesce("label", "cid")).alias("component_id"))
+    own = classes.join(labels, F.col("cid") == F.col("node"), "left").groupBy(F.col("n").alias("_n"), F.col("d1").alias("_d1")).agg(F.min(F.coalesce("label", "cid")).alias("_of"), F.sum("copies").alias("copies"))
+    many = max(HOT, (classes.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE)
     has = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    return docs.join(own, has & (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    hot = F.broadcast(own.where(F.col("copies") > many).select(F.col("_n").alias("_hn"), F.col("_d1").alias("_hd"), F.col("_of").alias("_hot")))
+    found = docs.join(hot, has & (F.col("n") == F.col("_hn")) & (F.col("d1") == F.col("_hd")), "left")
+    # those that are done, and those without shingles, go past the second join, whose keys are never null for the others
+    rest = found.where(has & F.col("_hot").isNull()).join(own.where(F.col("copies") <= many), (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")), "left").select("doc_id", "n", F.col("_of").alias("component_id"))
+    done = found.where(~has | F.col("_hot").isNotNull()).select("doc_id", "n", F.when(has, F.col("_hot")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rest.unionByName(done).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def _overlap(n, m, percent: int):
