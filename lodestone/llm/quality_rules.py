@@ -37,9 +37,15 @@ def _let(x: Column, f) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in windows of WINDOW words that occur twice or more in the text, first occurrences included. Windows are compared by 64-bit hashes; only a text with a repeated window is sorted."""
-    window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), window)
+    """Words in windows of WINDOW words that occur twice or more in the text, first occurrences included. Windows are compared by 64-bit hashes: each word is hashed once, and hashes of runs of 2, 4 and 8 words are made from those of half the length. Only a text with a repeated window is sorted."""
+
+    def doubled(hashes: Column, width: int) -> Column:
+        n = lambda h: F.size(h) - width
+        return _let(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), n(h)), F.slice(h, F.lit(width + 1), n(h)), lambda a, b: F.xxhash64(a, b)))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for width in (1, 2, 4):
+        hashes = doubled(hashes, width)
 
     def covered(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
