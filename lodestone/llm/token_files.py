@@ -1,8 +1,8 @@
 """Token-id files: documents encoded with a public tokenizer and written as ORC.
 
-A row of a file is a document: doc_id and its ids, with an end id after them. ORC packs the ids by its integer run-length encoding, keeps a row index with the least and greatest doc_id of each stride in every stripe, and a Bloom filter on doc_id. A reader can take stripes in parallel, and looking up documents skips files, stripes and strides by this metadata. Files hold ascending doc_ids, each file a range of its own.
+A row of a file is a document: doc_id, its ids with an end id after them, how many they are, and how many ids come before it in its part. ORC packs the ids by its integer run-length encoding, keeps a row index with the least and greatest doc_id of each stride in every stripe, and a Bloom filter on doc_id. A reader can take stripes in parallel, and looking up documents skips files, stripes and strides by this metadata. Files hold ascending doc_ids, each file a range of its own.
 
-A null text counts as empty: it has the end id alone. Null doc_ids come first. Rows with equal doc_ids keep to one file, in the order of their ids' checksums. An empty table gives no rows.
+A null text counts as empty: it has the end id alone. Null doc_ids come first. Rows with equal doc_ids follow each other in the order of their texts' hashes, and `start` counts in the order in which rows stand in the files. Columns other than id and text aren't read, whatever their names. An empty table gives no rows.
 
 Encoding goes by parts: a text is cut before spaces, where the byte-level splitter of the tokenizer cuts too, and a part that a worker hasn't met is split and encoded by the tokenizer's model. A text in which that could differ (a space between white space, the string of a special token) is encoded whole, and so is a part in scripts on which Unicode versions may differ.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, new_path, releasing
+from ._common import delete_at_exit, documents, new_path, releasing
 
 END_ID = 0
 #: Parts, and pieces, that a worker remembers.
@@ -124,6 +124,7 @@ def _encode(path: str, end_id: int):
         if path not in _workers:
             _workers[path] = PieceEncoder(path)
         encoder, end = _workers[path], np.array([end_id], "<u4").tobytes()
+        before = 0
         for batch in batches:
             at, texts = 0, batch.column(1)
             while at < len(texts):
@@ -132,21 +133,25 @@ def _encode(path: str, end_id: int):
                 while at + len(run) < len(texts) and (not run or size < 4 << 20):
                     run.append(encoder(texts[at + len(run)].as_py() or "") + end)
                     size += len(run[-1])
-                encoded = run
-                offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])])
-                ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(encoded))])
+                lengths = np.array([len(e) // 4 for e in run], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(run))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(before + offsets[:-1], pa.int64()), pa.array(lengths), lists], ["doc_id", "part_start", "n_ids", "ids"])
+                before += int(offsets[-1])
                 at += len(run)
 
     return encode
 
 
+FILES = "doc_id long, part_start long, n_ids long, ids array<int>"
+
+
 def write_token_files(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Writes df's documents to ORC files in path, in ascending order of the key (a long)."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    encoded = rows.mapInArrow(releasing(_encode(tokenizer or tokenizer_path(), end_id)), "doc_id long, ids array<int>")
+    """Writes df's documents to ORC files in path, in ascending order of the key (a long). Parts are ranges of key and text hash, so rows that repeat a key may be dealt over several."""
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_h"))
+    rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    encoded = rows.mapInArrow(releasing(_encode(tokenizer or tokenizer_path(), end_id)), FILES)
     options = {
         "orc.compress": "ZSTD",
         "orc.stripe.size": str(STRIPE_BYTES),
@@ -170,22 +175,24 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("ids")
         offsets, data = lists.offsets.to_numpy(), memoryview(lists.values.to_numpy().astype("<u4", copy=False)).cast("B")
         crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
+        kept = [batch.column(c) for c in ("part", "file", "doc_id", "part_start")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["part", "file", "doc_id", "part_start", "n_tokens", "ids_crc32"])
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and its file, all read from the files. Starts are running sums in each file plus the sums of the files before, so no task holds more than a file's index and a row for each file."""
-    rows = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids")
-    rows = rows.mapInArrow(releasing(_digest), "file string, doc_id long, n_tokens long, ids_crc32 long")
-    files = rows.groupBy("file").agg(F.min(F.struct("doc_id", "file")).alias("first"), F.sum("n_tokens").alias("n"))
-    before = W.orderBy("first").rowsBetween(W.unboundedPreceding, -1)
-    files = files.select(F.col("file").alias("_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("file").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_end", F.sum("n_tokens").over(inside)).join(files, F.col("file") == F.col("_file"))
-    return rows.select("doc_id", (F.col("_before") + F.col("_end") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32", "file")
+    """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and its file, all read from the files. A row's place in its part stands beside it; what the parts before hold is summed from two small columns, one row for each part, so no task holds more and no document is shuffled."""
+    name = F.col("_metadata.file_name")
+    rows = spark.read.schema(FILES).orc(path).select("*", name.alias("file"), F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("part"))
+    sums = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_ids")).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # a row for each part: as many as the tasks that wrote
+    sums = F.broadcast(sums.select(F.col("part").alias("_part"), before.alias("_before")))
+    made = rows.select("part", "file", "doc_id", "part_start", "ids").mapInArrow(releasing(_digest), "part long, file string, doc_id long, part_start long, n_tokens long, ids_crc32 long")
+    return made.join(sums, F.col("part") == F.col("_part")).select("doc_id", (F.col("_before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32", "file")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
+    delete_at_exit(spark, path)
     write_token_files(documents(spark, sf_dir, "doc_id", "text"), path)
     return token_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
