@@ -4,7 +4,7 @@ Of the hashes of all K-word runs, the least in every WINDOW consecutive ones is
 
 A null or empty text has no words and is never contaminated; an item without words never occurs; a null item_id counts as ''. Equal item_ids count once. Repeated rows are judged one by one; an empty benchmark or table gives clean rows or none. Words are compared by 64-bit hashes.
 
-The benchmark's word hashes are sent to the executors in blocks of at most BLOCK_WORDS words (8 bytes each). A larger benchmark takes one pass for each block, and the hits are merged for each document.
+The benchmark's word hashes are sent to the executors in blocks of at most BLOCK_WORDS words (8 bytes each). A larger benchmark takes one pass over the texts for each block; a pass writes only rows with hits, under two hashes of the whole row, and its block is given up before the next one is made. The hits are merged at the end, and rows with equal hashes, which are equal rows, share them. Any columns may come along, maps included, under any names but n_words, n_hit, n_items and items_sha256, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Stages, documents, releasing
+from ._common import Stages, delete_at_exit, documents, releasing, row_keys, small
 from ._words import ALNUM_WORDS, runs, text_slices, words
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
 BLOCK_WORDS = 1 << 22
 TABLE = 1 << 20
+#: Matches of fingerprints that are extended at once.
+MATCHES = 1 << 20
 
 
 def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -75,8 +77,11 @@ class Index:
             if not n and mask.any():
                 mask &= winnow(r, self.span - self.k + 1)
             places = np.flatnonzero(mask)
-            for part in np.array_split(places, max(1, len(places) // 50_000)):
-                left, right = np.searchsorted(keys, r[part], "left"), np.searchsorted(keys, r[part], "right")
+            first, last = np.searchsorted(keys, r[places], "left"), np.searchsorted(keys, r[places], "right")
+            total = np.cumsum(last - first)
+            # so many matches at once, or those of one place
+            cuts = np.unique(np.searchsorted(total, np.arange(MATCHES, total[-1], MATCHES))) if len(total) else []
+            for part, left, right in zip(*(np.split(x, cuts) for x in (places, first, last)), strict=True):
                 count = right - left
                 if not count.sum():
                     continue
@@ -109,35 +114,55 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["item_id", "words"])
 
 
-def _scan(name: str, index, full: bool):
-    """The columns of a batch, and how it is hit. full: with the hit spans and item ids, for merging."""
+def _scanned(own: Index, column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, dict[int, set[int]]]]:
+    for row, end, data, offsets in text_slices(column):
+        h, starts = words(data, offsets, ALNUM_WORDS)
+        yield row, end, starts, *own.hits(h, starts)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _judge(name: str, index):
+    """The columns of a batch, and how it is hit."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            n_words, n_hit, n_items, digest, spans, items = [], [], [], [], [], []
-            for row, end, data, offsets in text_slices(batch.column(name)):
-                h, starts = words(data, offsets, ALNUM_WORDS)
-                hit, found = own.hits(h, starts)
+            n_words, n_hit, n_items, digest = [], [], [], []
+            for row, end, starts, hit, found in _scanned(own, batch.column(name)):
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_words += np.diff(starts).tolist()
                 n_hit += np.diff(total[starts]).tolist()
                 for d in range(end - row):
                     ids = sorted({own.ids[i] for i in found[d]}) if d in found else []
-                    if full:
-                        part = np.zeros(starts[d + 1] - starts[d] + 2, np.int8)
-                        part[1:-1] = hit[starts[d] : starts[d + 1]]
-                        spans.append(np.flatnonzero(np.diff(part)).tolist())
-                        items.append(ids)
                     n_items.append(len(ids))
                     digest.append(_digest(ids))
             more = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
-            more += [pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))] if full else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "n_words", "n_hit", "n_items", "items_sha256", *(["_spans", "_items"] if full else [])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "n_words", "n_hit", "n_items", "items_sha256"])
+
+    return judge
 
-    return scan
 
+def _hits_only(index):
+    """k1, k2, text to k1, k2 and the hit spans and items of rows that are hit."""
 
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            rows, spans, items = [], [], []
+            for row, _, starts, hit, found in _scanned(own, batch.column("text")):
+                for d in sorted(found):
+                    part = np.zeros(starts[d + 1] - starts[d] + 2, np.int8)
+                    part[1:-1] = hit[starts[d] : starts[d + 1]]
+                    rows.append(row + d)
+                    spans.append(np.flatnonzero(np.diff(part)).tolist())
+                    items.append(sorted({own.ids[i] for i in found[d]}))
+            if rows:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in ("k1", "k2")], pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["k1", "k2", "spans", "items"])
+
+    return hits
+
+
+#: Words as ALNUM_WORDS has them, capitals included, as a pattern.
+LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
@@ -146,53 +171,62 @@ def _digest(ids: list[str]) -> str:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = None
     for batch in batches:
-        names = batch.schema.names
         n_hit, n_items, digest = [], [], []
-        for spans, items in zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+        for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
             covered, to = 0, 0
-            for pairs in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
-                covered += max(0, pairs[1] - max(to, pairs[0]))
-                to = max(to, pairs[1])
+            for a, b in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
+                covered += max(0, b - max(to, a))
+                to = max(to, b)
             ids = sorted({x for part in items for x in part})
             n_hit.append(covered)
             n_items.append(len(ids))
             digest.append(_digest(ids))
-        keep = [n for n in names if n not in ("_spans", "_items")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], [*keep, "n_hit", "n_items", "items_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())], ["k1", "k2", "n_hit", "n_items", "items_sha256"])
 
 
-OUT = "n_words long, n_hit long, n_items long, items_sha256 string"
+OUT = ("n_words", "n_hit", "n_items", "items_sha256")
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Adds n_words, n_hit, n_items and items_sha256 to the rows of df; columns of those names are replaced. With several blocks of items, rows are merged by all their columns."""
+    """Adds n_words, n_hit, n_items and items_sha256 to the rows of df; columns of those names are replaced."""
     spark = df.sparkSession
-    df = df.drop("n_words", "n_hit", "n_items", "items_sha256")
+    df = df.drop(*OUT)
     stages = Stages(spark, "benchmark")
     own = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).alias("text"))
-    own = stages.write(own.mapInArrow(releasing(_hashed), "item_id string, words binary"), "words")
+    # equal items are one
+    own = stages.write(own.mapInArrow(releasing(_hashed), "item_id string, words binary").distinct(), "words")
     total = own.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // (8 * block_words)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + OUT
-    passes = []
-    for b in range(n_blocks):
+
+    def block(b: int):
         rows = own.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows]))
-        full = n_blocks > 1
-        passes.append(df.mapInArrow(releasing(_scan(text, index, full)), schema + (", _spans array<bigint>, _items array<string>" if full else "")))
-    stages.drop("words")
+        return spark.sparkContext.broadcast(Index([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows]))
+
     if n_blocks == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    names = [f"`{c}`" for c in df.columns]
-    merged = every.groupBy(*names, "n_words").agg(F.collect_list("_spans").alias("_spans"), F.collect_list("_items").alias("_items"), F.count("*").alias("_n"))
-    merged = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / n_blocks).cast("int")))).drop("_n", "_copy")
-    own_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.drop("_spans", "_items").schema)
-    return merged.mapInArrow(releasing(_merge), own_schema + ", n_hit long, n_items long, items_sha256 string")
+        index = block(0)
+        stages.drop()
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", n_words long, n_hit long, n_items long, items_sha256 string"
+        return df.mapInArrow(releasing(_judge(text, index)), schema)
+    k1, k2 = row_keys(df)
+    names = df.columns
+    keyed = df.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text"))
+    found = []
+    for b in range(n_blocks):
+        index = block(b)
+        found.append(stages.write(keyed.mapInArrow(releasing(_hits_only(index)), "k1 long, k2 long, spans array<bigint>, items array<string>"), f"hits-{b}"))
+        index.destroy()
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy("k1", "k2").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
+    merged = stages.write(merged.mapInArrow(releasing(_merge), "k1 long, k2 long, n_hit long, n_items long, items_sha256 string"), "merged")
+    # the result still reads these
+    delete_at_exit(spark, stages.paths.pop("merged"))
+    stages.drop()
+    whole = df.select(k1.alias("k1"), k2.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(LETTERS)), F.lit(0)).cast("long").alias("n_words"))
+    joined = whole.join(small(merged), ["k1", "k2"], "left")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.lit(_NONE)).alias("items_sha256"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
