@@ -68,16 +68,20 @@ class Templates:
             b = runs(h, 2)
             self.sets.append(np.unique(b))
             self.table[(b & np.uint64(TABLE - 1)).astype(np.int64)] = True
+        self.wants = [least * len(own) / (2 - least) - 1e-9 for own in self.sets]
+        self.fewest = min(self.wants, default=0.0)
 
     def match(self, b: np.ndarray) -> list[tuple[float, str, int, int]]:
         """b: a text's bigrams. The best run of each template that is alike enough: Dice, name, first word, end."""
         found, places = [], None
+        # bigrams without repeats are no more than bigrams, so a template that wants more is out before any is looked up
+        if len(b) < self.fewest:
+            return found
         near = np.flatnonzero(self.table[(b & np.uint64(TABLE - 1)).astype(np.int64)])
         if not len(near):
             return found
-        for name, own in zip(self.names, self.sets, strict=True):
-            least = self.least * len(own) / (2 - self.least) - 1e-9
-            if len(near) < least:
+        for name, own, least in zip(self.names, self.sets, self.wants, strict=True):
+            if not len(own) or len(near) < least:
                 continue
             hits = near[np.isin(b[near], own)]
             if len(hits) < least or len(np.unique(b[hits])) < least:
@@ -132,6 +136,16 @@ def _places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
+def load_templates(folder: str, most: int = 200) -> dict[str, str]:
+    """Whole licence texts of a folder on the driver, such as /usr/share/common-licenses, by file name; links and files beyond `most` of them are an error or left out, never cut."""
+    from pathlib import Path
+
+    files = sorted(p for p in Path(folder).iterdir() if p.is_file() and not p.is_symlink())
+    if len(files) > most:
+        raise ValueError(f"{folder} has more than {most} files")
+    return {p.name: p.read_text(encoding="utf-8", errors="replace") for p in files}
+
+
 OUT = "license string, dice double, first_word long, end_word long, licenses string"
 
 
