@@ -136,20 +136,18 @@ def _unpacked(data: memoryview) -> Iterator[bytes]:
         return
     at = 0
     while at < len(data):
-        member, rest = zlib.decompressobj(31), data[at : at + PIECE]
-        while True:
+        member, rest, end = zlib.decompressobj(31), b"", at
+        while not member.eof:
+            if not rest:
+                if end >= len(data):
+                    yield member.flush()
+                    if member.eof:
+                        break
+                    raise ValueError("a gzip member ends early")
+                rest, end = data[end : end + PIECE], min(end + PIECE, len(data))
             yield member.decompress(rest, PIECE)
-            if member.eof:
-                at += len(rest) - len(member.unused_data)
-                break
-            if member.unconsumed_tail:
-                rest = memoryview(member.unconsumed_tail)
-                at += 0
-                continue
-            at += PIECE
-            if at >= len(data):
-                raise ValueError("a gzip member ends early")
-            rest = data[at : at + PIECE]
+            rest = member.unconsumed_tail
+        at = end - len(member.unused_data)
 
 
 def parse_warc(data) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
