@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import intent, text
 from ..operators import evaluation, listing, metadata, retrieval
 from ..streaming import ingest
+from .session import shared_path
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -477,12 +478,7 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL["latest_stage"])
 def stream_ingest_status(spark: SparkSession, d: str) -> DataFrame:
     """Stage events through a drained stream, then the last stage of each key."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")
-    import uuid
-
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     events = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
     events.repartition(4, "user_id").write.parquet(f"{at}/source")
     ingest.drain(spark, f"{at}/source", "event_id long, ts timestamp, user_id long, event_type string", f"{at}/table", f"{at}/checkpoint", 2)
