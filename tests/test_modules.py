@@ -97,7 +97,7 @@ def test_parsers():
     assert parsers.parse("a.xml", b"<r k='v'><a>t</a><b>t</b></r>") == [(None, "r", "v\nt")]
     w = "xmlns:w='urn:w'"
     body = f"<w:document {w}><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>c1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>c2</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"
-    assert [s[2] for s in parsers.docx(_docx(body))] == ["one", "c1\tc2"]
+    assert [s[2] for s in parsers.parse("a.docx", _docx(body))] == ["one\nc1\tc2"]
     assert parsers.decode("中文".encode("gb18030")) == "中文"
     with pytest.raises(ValueError):
         parsers.parse("a.pdf", b"%PDF")
