@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from .text import strip
+from .text import exact_metric_text, metric_text, strip
 
 # Patterns and phrases that decide routes.
 IDENTITY = (
@@ -54,7 +59,7 @@ def collapse(text: Column) -> Column:
 
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
-    return collapse(text).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return collapse(text).rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def is_identity(text: Column) -> Column:
@@ -73,16 +78,41 @@ def is_file_lookup(text: Column) -> Column:
     return any_of(text, LOOKUP)
 
 
+#: A decision object of which the last brace may be missing.
+CUT_OBJECT = re.compile(r"""\{\s*"decision"\s*:\s*"(?P<word>retrieve|skip)"\s*\}?""", re.IGNORECASE)
+
+
+def retrieves(output: str | None) -> bool:
+    """Whether a model's decision asks for retrieval. Only an exact SKIP doesn't: as a word, or as the last `decision` of a JSON object, between fences on both sides or without any."""
+    said = (output or "").strip()
+    if said[:3] == said[-3:] == "```":
+        said = said.removeprefix("```")
+        said = said[4 if said[:4].lower() == "json" else 0 :].lstrip().removesuffix("```").rstrip()
+    try:
+        made = json.loads(said)
+    except json.JSONDecodeError:
+        made = None
+    if isinstance(made, dict):
+        word = made.get("decision", "")
+    else:
+        cut = CUT_OBJECT.fullmatch(said.strip())
+        word = cut["word"] if cut else said
+    return str(word).strip().upper() != "SKIP"
+
+
+@F.pandas_udf(BooleanType())
+def _retrieves(output: pd.Series) -> pd.Series:
+    return output.map(retrieves).astype(bool)
+
+
 def decision_retrieves(output: Column) -> Column:
-    """Whether a model's decision asks for retrieval: only an exact SKIP does not, as a word or in JSON, fenced or not, a last brace missing or not."""
-    bare = strip(F.regexp_replace(strip(output), r"(?i)^```(?:json)?\s*|\s*```$", ""))
-    inner = F.nullif(F.regexp_extract(bare, r'(?i)^\s*\{\s*"decision"\s*:\s*"(RETRIEVE|SKIP)"\s*\}?\s*$', 1), F.lit(""))
-    word = F.coalesce(F.get_json_object(bare, "$.decision"), inner, bare)
-    return F.coalesce(F.upper(F.trim(word)) != "SKIP", F.lit(True))
+    """retrieves() over a column, in Arrow batches: JSON's own rules on repeated keys and what may follow an object aren't those of Spark's reader."""
+    return _retrieves(F.coalesce(output, F.lit("")))
 
 
-def is_refusal(answer: Column) -> Column:
-    squeezed = F.regexp_replace(F.lower(answer), r"[^\p{L}\p{N}]+", "")
+def is_refusal(answer: Column, exact: bool = False) -> Column:
+    """Whether a phrase of refusal is in the answer's letters and digits. exact: by Unicode's compatibility forms and case folding, in Arrow batches."""
+    squeezed = exact_metric_text(answer) if exact else metric_text(answer)
     found = F.lit(False)
     for phrase in REFUSALS:
         found = found | F.contains(squeezed, F.lit(phrase))

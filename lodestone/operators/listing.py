@@ -103,8 +103,16 @@ def scoped_files(questions: DataFrame, docs: DataFrame) -> DataFrame:
 
 def headlines(questions: DataFrame, docs: DataFrame, lookup: bool) -> DataFrame:
     """question_id, kb, headline, n: the first line of the answer, which the lines of found_files or scoped_files follow, and their number."""
-    rows = found_files(questions, docs) if lookup else scoped_files(questions, docs)
-    df = questions.select("question_id", "kb").join(rows.groupBy("question_id", "kb").agg(F.count("*").alias("n")), ["question_id", "kb"], "left").fillna(0, ["n"])
+    pairs = ["question_id", "kb"]
+    if lookup:
+        counts = found_files(questions, docs).groupBy(*pairs).agg(F.count("*").alias("n"))
+    else:
+        # where no folder is named all files count, which needs one count a tenant and no rows
+        targets, files = asked_folders(questions, docs), entries(docs)
+        below = files.withColumn("target", F.explode(ancestors(F.col("folder")))).join(targets, ["kb", "target"]).select(*pairs, "path").distinct().groupBy(*pairs).agg(F.count("*").alias("n"))
+        free = questions.select(*pairs).join(targets, pairs, "left_anti")
+        counts = below.unionByName(free.join(files.groupBy("kb").agg(F.count("*").alias("n")), "kb").select(*pairs, "n"))
+    df = questions.select(*pairs).join(counts, pairs, "left").fillna(0, ["n"])
     if lookup:
         head = F.when(F.col("n") > 0, F.format_string(FOUND, "n")).otherwise(NO_FILE)
     else:

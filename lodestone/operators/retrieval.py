@@ -15,10 +15,10 @@ TILE_POINTS, TILE_QUESTIONS, STEP = 16384, 4096, 256
 MOST_BROADCAST = 200_000
 
 
-def _tiled(df: DataFrame, sizes: DataFrame, own: str, other: str, on: list[str], row: str) -> DataFrame:
+def _tiled(df: DataFrame, sizes: DataFrame, few: bool, own: str, other: str, on: list[str], row: str) -> DataFrame:
     """Each row with its own tile number by hash and once for each tile of the other side; keys of one tile have none in `sizes`."""
     sizes = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in on], own, other)
-    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
+    sizes = F.broadcast(sizes) if few else sizes
     match = [F.col(c) == F.col(f"_k_{c}") for c in on]
     df = df.join(sizes, match, "left").drop(*[f"_k_{c}" for c in on]).fillna(1, [own, other])
     tile = F.pmod(F.xxhash64(row), F.col(own)).cast("int")
@@ -37,8 +37,13 @@ def top_k(points: DataFrame, questions: DataFrame, k: int, on: str | list[str],
     questions = questions.select(*on, question, F.col("qvec").alias("_q")).dropna(subset=[*on, "_q"])
     tiles = lambda df, rows, name: df.groupBy(*on).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
     sizes = tiles(points, TILE_POINTS, "_p").join(tiles(questions, TILE_QUESTIONS, "_s"), on).where("_p > 1 or _s > 1")
-    left = _tiled(points, sizes, "_p", "_s", on, point)
-    right = _tiled(questions, sizes, "_s", "_p", on, question)
+    # counted once, as rows that are at hand, since both sides ask
+    large = sizes.limit(MOST_BROADCAST + 1).toPandas()
+    few = len(large) <= MOST_BROADCAST
+    if few:
+        sizes = points.sparkSession.createDataFrame(large, sizes.schema)
+    left = _tiled(points, sizes, few, "_p", "_s", on, point)
+    right = _tiled(questions, sizes, few, "_s", "_p", on, question)
     pid, qid = (dict(df.dtypes)[c] for df, c in ((points, point), (questions, question)))
 
     def score(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -87,6 +92,12 @@ def within_budget(df: DataFrame, group: str, order: str, text: str, header: Colu
     return df.withColumn("_room", room).where("_room > 0").withColumn(text, F.substring(F.col(text), F.lit(1), F.least(F.length(text), F.col("_room")).cast("int"))).drop("_room")
 
 
+def within_room(df: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
+    """As within_budget, without headers; two characters part the texts, but aren't needed after the last."""
+    spent = F.coalesce(F.sum(F.length(text) + 2).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_room", F.lit(budget) - spent).where("_room > 0").withColumn(text, F.substring(F.col(text), F.lit(1), F.least(F.length(text), F.col("_room")).cast("int"))).drop("_room")
+
+
 def last_n(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """The last n rows of each group."""
     return df.withColumn("_back", F.row_number().over(W.partitionBy(group).orderBy(F.desc(order)))).where(F.col("_back") <= n).drop("_back")

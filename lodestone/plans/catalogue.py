@@ -53,7 +53,8 @@ COS = "round(list_cosine_similarity({}::double[], {}::double[]), 6)"
 def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of the question's tenant."""
     points = read(spark, d, "embeddings")
-    question = points.where("vec_id = 0").select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("qvec"))
+    # one row
+    question = points.where("vec_id = 0").limit(1).select(F.col("vec_id").alias("question_id"), "label", F.col("embedding").alias("qvec"))
     return points.join(F.broadcast(question), "label").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("qvec")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
@@ -116,7 +117,8 @@ def duplicate_policy_path(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("_c", metadata.first_of(df, ["kb", "hash"], "doc_id")).where("_c").select("doc_id", "kb")
 
 
-@query()
+@query("""with h as (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('rag-chunk:' || doc_id || ':0')) as h from documents)
+select doc_id, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab89ab89ab89ab', 1 + ('0x' || h[17])::int, 1) || h[18:20], h[21:32]) as point_id from h""")
 def point_id_uuid5(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", text.point_id(F.concat(F.col("doc_id").cast("string"), F.lit(":0"))).alias("point_id"))
 
@@ -320,7 +322,8 @@ def resync_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).groupBy("kb").agg(F.count_if(ready & (F.col("n_chars") > 200)).alias("synced"), F.count_if(~ready).alias("skipped"), F.count_if(ready & (F.col("n_chars") <= 200)).alias("failed"))
 
 
-@query()
+@query(f"""with {CHUNKS}, {DOCS.replace("d.text, ", "")}, l as (select doc_id, list({{'chunk_index': chunk_index, 'text': text}} order by chunk_index) as chunks from chunks group by doc_id)
+select doc_id, to_json({{'doc_id': doc_id, 'file_name': file_name, 'folder': folder, 'chunks': chunks}})::varchar as payload from docs join l using (doc_id)""")
 def export_payload_json(spark: SparkSession, d: str) -> DataFrame:
     """Each document and its chunks as one JSON payload."""
     c = metadata.chunks(read(spark, d, "documents"), "doc_id", text.normalise_source(F.col("text")))
@@ -351,9 +354,26 @@ def intent_flags(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(q,) for q in QUESTIONS], "x string").select("x", intent.is_identity(x).alias("identity"), intent.needs_catalog(x).alias("catalog"), intent.is_inventory(x).alias("inventory"), intent.is_file_lookup(x).alias("lookup"))
 
 
-@query(f"select x, case when regexp_matches(x, '^SKIP$|^skip$|\"SKIP\"') then false else true end as retrieve from {_values(DECISIONS)}")
+#: Shapes of a decision, with the word at %s, and whether a SKIP in it skips.
+SHAPES = [
+    ("%s", True), (" %s\n", True), ('{"decision": "%s"}', True), ('{"decision": "RETRIEVE", "decision": "%s"}', True), ('```json\n{"decision": "%s"}\n```', True), ('{"decision": "%s"', True), ("```%s```", True), ('{"why": {"a": 1}, "decision": "%s"}', True),
+    ("```%s", False), ("%s```", False), ("%s it", False), ('["%s"]', False), ('{"decision": "%s"} so', False), ('{"decision": ["%s"]}', False), ('{"other": "%s"}', False), ("{'decision': '%s'}", False),
+]
+
+
+def _shaped(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+
+
+@query(f"""with t as (select conv_id, turn, 1 + (conv_id + turn) % {len(SHAPES)} as i, case when turn % 3 = 0 then 'SKIP' when turn % 3 = 1 then 'skip' else 'RETRIEVE' end as word from conversations)
+select conv_id, turn, replace({_shaped(v for v, _ in SHAPES)}[i], '%s', word) as x, not (upper(word) = 'SKIP' and {[skips for _, skips in SHAPES]}[i]) as retrieve from t""")
 def decision_parser(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in DECISIONS], "x string").select("x", intent.decision_retrieves(F.col("x")).alias("retrieve"))
+    """Decisions in many shapes, of which only some are understood as a SKIP."""
+    turn = F.col("turn")
+    word = F.when(turn % 3 == 0, "SKIP").when(turn % 3 == 1, "skip").otherwise("RETRIEVE")
+    shape = F.element_at(F.array(*[F.lit(v) for v, _ in SHAPES]), ((F.col("conv_id") + turn) % len(SHAPES) + 1).cast("int"))
+    df = read(spark, d, "conversations").select("conv_id", "turn", F.replace(shape, F.lit("%s"), word).alias("x"))
+    return df.withColumn("retrieve", intent.decision_retrieves(F.col("x")))
 
 
 @query(f"""select c.conv_id, x, case when {_any(intent.IDENTITY)} then 'identity' when {INVENTORY} then 'catalog_answer' when conv_id % 3 = 0 then 'context' when {_any(intent.CATALOG)} then 'catalog_only' when conv_id % 3 = 1 and conv_id % 2 <> 0 then 'no_content' when conv_id % 2 = 0 then 'attachment' else 'history' end as route
@@ -365,9 +385,14 @@ def answer_route(spark: SparkSession, d: str) -> DataFrame:
     return df.select("conv_id", "x", intent.answer_route(F.col("x"), id_ % 3 == 0, id_ % 3 == 1, id_ % 2 == 0).alias("route"))
 
 
-@query(f"select x, regexp_matches(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '{'|'.join(intent.REFUSALS)}') as refused from {_values(ANSWERS)}")
+@query(f"""with t as (select doc_id, case when doc_id % 3 = 0 then text || {_shaped(intent.REFUSALS)}[1 + doc_id % {len(intent.REFUSALS)}] || ' 。' when doc_id % 3 = 1 then '没有 找到，任何-关于 ' || text else text end as x from documents),
+n as (select doc_id, doc_id % 3 as k, regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as x from t) select doc_id, len(list_filter({_shaped(intent.REFUSALS)}, lambda p: contains(x, p))) > 0 as refused from n""")
 def refusal_flag(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a in ANSWERS], "x string").select("x", intent.is_refusal(F.col("x")).alias("refused"))
+    """Documents as answers; some get a phrase of refusal, marks and blanks inside it or not."""
+    i = F.col("doc_id")
+    phrase = F.element_at(F.array(*[F.lit(p) for p in intent.REFUSALS]), (i % len(intent.REFUSALS) + 1).cast("int"))
+    x = F.when(i % 3 == 0, F.concat("text", phrase, F.lit(" 。"))).when(i % 3 == 1, F.concat(F.lit("没有 找到，任何-关于 "), "text")).otherwise(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", intent.is_refusal(x).alias("refused"))
 
 
 PAIRS = f"n as (select count(*) as n from benchmark), pairs as (select d.doc_id, {METRIC.format('b.text')} as expected, {METRIC.format('d.text')} as answer, b.text as item from documents d, n join benchmark b on b.item_id = d.doc_id % n.n)"
@@ -383,7 +408,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {PAIRS}, e as (select doc_id, ch, count(*) as n from (select doc_id, unnest(string_split(expected, '')) as ch from pairs) where ch <> '' group by all), a as (select doc_id, ch, count(*) as m from (select doc_id, unnest(string_split(answer, '')) as ch from pairs) where ch <> '' group by all),
 c as (select doc_id, sum(least(n, m)) as common from e join a using (doc_id, ch) group by doc_id) select doc_id, case when length(expected) > 0 and length(answer) > 0 then round(2.0 * cast(coalesce(common, 0) as double) / (length(expected) + length(answer)), 6) else 0.0 end as char_f1 from pairs left join c using (doc_id)""")
 def char_f1(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.char_f1(_pairs(spark, d), "doc_id", "expected", "answer")
+    return _pairs(spark, d).select("doc_id", evaluation.char_f1(F.col("expected"), F.col("answer")).alias("char_f1"))
 
 
 @query(f"with {PAIRS}, k as (select doc_id, answer, list_filter(list_transform(string_split(item, ' ')[1:5], lambda w: {METRIC.format('w')}), lambda w: w <> '') as ks from pairs) select doc_id, round(cast(len(list_filter(ks, lambda w: contains(answer, w))) as double) / nullif(len(ks), 0), 6) as recall from k")
@@ -407,40 +432,6 @@ def semantic_score(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d)
 
 
-RESULTS = f"""{SCORES}, r as (select l.doc_id, l.toxic = 1 as expected_refusal, l.quality = 0 as refused, case when l.doc_id % 4 = 0 then null else l.doc_id % 3 <> 0 end as document_hit, case when l.doc_id % 5 = 0 then null else l.doc_id % 7 <> 0 end as chunk_hit, s.score as answer_score,
-    case when l.doc_id % 11 = 0 then 'failed' end as error from labels l left join s on s.vec_id = l.doc_id),
-p as (select *, expected_refusal = refused as refusal_correct, case when expected_refusal then expected_refusal = refused else expected_refusal = refused and coalesce(document_hit, true) and coalesce(chunk_hit, true) and coalesce(answer_score >= 5, false) end as passed from r)"""
-
-
-def _results(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id")
-    ids = lambda n, m: F.when(i % n == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
-    found = lambda m: F.when(i % m != 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("y"), F.lit(None).cast("string")))
-    r = read(spark, d, "labels").join(_scores(spark, d).withColumnRenamed("vec_id", "doc_id"), "doc_id", "left").select(
-        "doc_id", (F.col("toxic") == 1).alias("expected_refusal"), (F.col("quality") == 0).alias("refused"), evaluation.hit(ids(4, 3), found(3), F.lit(True)).alias("document_hit"), evaluation.hit(ids(5, 7), found(7), F.lit(True)).alias("chunk_hit"),
-        F.col("score").alias("answer_score"), F.when(i % 11 == 0, "failed").alias("error"),
-    )
-    c = F.col
-    return r.withColumns({"refusal_correct": c("expected_refusal") == c("refused"), "passed": evaluation.passed(c("expected_refusal"), c("refused"), c("document_hit"), c("chunk_hit"), c("answer_score"), 5.0)})
-
-
-@query(f"with {RESULTS} select doc_id, document_hit, chunk_hit, refusal_correct, passed from p where error is null")
-def score_response(spark: SparkSession, d: str) -> DataFrame:
-    return _results(spark, d).where("error is null").select("doc_id", "document_hit", "chunk_hit", "refusal_correct", "passed")
-
-
-@query(f"""with {RESULTS}, g as (select * from p where error is null) select (select count(*) from p) as sample_count, count(*) as completed_count, (select count(*) from p where error is not null) as error_count, round(avg(passed::int::double), 4) as pass_rate, round(avg(document_hit::int::double), 4) as document_hit_rate,
-round(avg(chunk_hit::int::double), 4) as chunk_hit_rate, round(avg(refusal_correct::int::double), 4) as refusal_accuracy, round(avg(case when not expected_refusal then answer_score end), 4) as average_answer_score from g""")
-def eval_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.summarise(_results(spark, d))
-
-
-@query("select l.doc_id from labels l where l.doc_id not in (select doc_id from documents where source <> 'src3')")
-def eval_kb_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    """Samples whose expected documents aren't in the tenant's."""
-    return read(spark, d, "labels").select("doc_id").join(read(spark, d, "documents").where("source <> 'src3'").select("doc_id"), "doc_id", "left_anti")
-
-
 @query("select cast(e.event_id as bigint) as event_id, greatest(0, least(100, cast(floor(coalesce(value, 0)) as bigint))) as progress from events e")
 def progress_clamp(spark: SparkSession, d: str) -> DataFrame:
     value = F.floor(F.coalesce("value", F.lit(0.0)))
@@ -461,7 +452,10 @@ def attachment_identity_dedup(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query()
+@query(r"""with t as (select page_id, regexp_extract_all(html, '<!--(?s:.)*?-->|<(?i:script|style)\b[^>]*>(?s:.)*?</(?i:script|style)\s*>|<[^>]*>|[^<]+') as parts from pages),
+n as (select page_id, list_transform(parts[1:len(parts) - (parts[len(parts)][1] <> '<')::int], lambda x: case when regexp_matches(x, '^<(?i:script|style)\b') then regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '<[^<]*$', '') when x[1] = '<' then ''
+    else replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') end) as nodes from t)
+select page_id, array_to_string(list_filter(list_transform(nodes, lambda x: regexp_replace(x, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), lambda x: x <> ''), chr(10)) as text from n""")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """All text nodes of pages, in batches through the standard parser."""
     import pandas as pd
@@ -483,3 +477,7 @@ def stream_ingest_status(spark: SparkSession, d: str) -> DataFrame:
     events.repartition(4, "user_id").write.parquet(f"{at}/source")
     ingest.drain(spark, f"{at}/source", "event_id long, ts timestamp, user_id long, event_type string", f"{at}/table", f"{at}/checkpoint", 2)
     return ingest.latest_stage(spark.read.parquet(f"{at}/table"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", "stage", "n_events")
+
+
+# these add their queries to QUERIES and SQL
+from . import asking, changes  # noqa: E402, F401
