@@ -19,5 +19,6 @@ QUERIES = {
 SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op6_warc_derivatives": warc_derivatives.OP6_SQL,
+    "op9_sharding": sharding.OP9_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }

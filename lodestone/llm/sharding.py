@@ -65,7 +65,8 @@ def assign_shards(df: DataFrame, key: str, shards: int, grown: int | None = None
 def number_slots(df: DataFrame, shard: str, order: list[str], buckets: int | None = None) -> DataFrame:
     """Adds `slot`: 0, 1, 2, ... without gaps in each shard. Rows are numbered in hash buckets of a shard, of which there are more the more rows there are, and buckets by running counts, so no task holds a shard."""
     buckets = buckets or max(256, -(-df.count() // BUCKET_ROWS))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order]).cast("binary"))
+    df = df.withColumn("_bucket", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int"))
     counts = df.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -89,3 +90,36 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = assign_shards(rows, "doc_id", 16, grown=17)
     return number_slots(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+def _nibbles() -> list[int]:
+    """What each half byte adds to a CRC-32."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+#: A byte of a CRC-32 by its halves; jumps in 128-bit integers; slots by running numbers over all rows of a shard.
+OP9_SQL = f"""
+with recursive texts as (
+    select doc_id, strlen(coalesce(text, '')) as n, hex(encode(coalesce(text, ''))) as h from documents
+), bytes as (
+    select doc_id, n, list_prepend(4294967295::bigint, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)) as b from texts
+), sums as (
+    select doc_id, n + 1 as size, xor(4294967295::bigint, list_reduce(b, lambda c, x: xor(xor(xor(c, x) >> 4, {_nibbles()}[1 + (xor(c, x) & 15)]) >> 4, {_nibbles()}[1 + (xor(xor(c, x) >> 4, {_nibbles()}[1 + (xor(c, x) & 15)]) & 15)]))) as crc from bytes
+), jumps as (
+    select distinct doc_id, s.n as shards, (coalesce(doc_id, 0)::hugeint + 18446744073709551616::hugeint) % 18446744073709551616::hugeint as k, 0::bigint as b, 0::bigint as j from documents, (values (16), (17)) s(n)
+    union all
+    select doc_id, shards, k, b, floor((b + 1)::double * (2147483648::double / ((k // 8589934592)::double + 1)))::bigint from (
+        select doc_id, shards, (k * {MULTIPLIER}::hugeint + 1) % 18446744073709551616::hugeint as k, j as b from jumps where j < shards)
+), shards as (
+    select doc_id, max(case when shards = 16 and j >= 16 then b end)::int as shard, max(case when shards = 17 and j >= 17 then b end)::int as grown from jumps group by doc_id
+), placed as (
+    select s.doc_id, size, crc, shard, grown, ('0x' || md5(concat_ws(':', s.doc_id, crc, size))[1:8])::bigint % greatest(256, ceil((select count(*) from documents) / {float(BUCKET_ROWS)}))::bigint as bucket
+    from sums s join shards on shards.doc_id is not distinct from s.doc_id
+)
+select doc_id, cast(size as bigint) as size, crc as text_crc32, 'key' as law, shard, row_number() over (partition by shard order by bucket, doc_id nulls first, crc, size) - 1 as slot, grown as grown_shard from placed
+"""

@@ -37,6 +37,7 @@ STEPS = (
     ("&mdash;", "—"),
     ("&hellip;", "…"),
     ("&copy;", "©"),
+    ("&middot;", "·"),
     ("&euro;", "€"),
     ("&amp;", "&"),
     (r"[\t\r\f ]+", " "),
@@ -272,8 +273,8 @@ with p as (
 ), lines as (
     select *, regexp_replace(regexp_replace(bare, '</?(?i:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as marked from parts
 ), read as (
-    select *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(marked, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)),
-        '&ndash;', '–'), '&mdash;', '—'), '&hellip;', '…'), '&copy;', '©'), '&euro;', '€'), '&amp;', '&') as unescaped
+    select *, replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(marked, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)),
+        '&ndash;', '–'), '&mdash;', '—'), '&hellip;', '…'), '&copy;', '©'), '&middot;', '·'), '&euro;', '€'), '&amp;', '&') as unescaped
     from lines
 ), blocks as (
     select *, trim(array_to_string(list_filter(list_transform(string_split(regexp_replace(unescaped, '[\t\r\f ]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)), ' ') as plain,
