@@ -454,7 +454,7 @@ def attachment_identity_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""with t as (select page_id, regexp_extract_all(html, '<!--(?s:.)*?-->|<(?i:script|style)\b[^>]*>(?s:.)*?</(?i:script|style)\s*>|<[^>]*>|[^<]+') as parts from pages),
 n as (select page_id, list_transform(parts[1:len(parts) - (parts[len(parts)][1] <> '<')::int], lambda x: case when regexp_matches(x, '^<(?i:script|style)\b') then regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '<[^<]*$', '') when x[1] = '<' then ''
-    else replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') end) as nodes from t)
+    else replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') end) as nodes from t)
 select page_id, array_to_string(list_filter(list_transform(nodes, lambda x: regexp_replace(x, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), lambda x: x <> ''), chr(10)) as text from n""")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """All text nodes of pages, in batches through the standard parser."""
