@@ -73,7 +73,7 @@ def outside_tenant(samples: DataFrame, documents: DataFrame, ids: str = "source_
     return samples.join(named.select("question_id").distinct(), "question_id", "left_semi").join(good, "question_id", "left_anti")
 
 
-def char_f1(expected: Column, answer: Column) -> Column:
+def bag_f1(expected: Column, answer: Column) -> Column:
     """F1 of two normalised texts as bags of characters, to six digits; 0 if one is empty. Each row is counted by itself: how often a character occurs is what the text loses without it."""
     times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
     chars = F.filter(F.array_distinct(F.split(expected, "")), lambda c: c != "")
@@ -82,6 +82,11 @@ def char_f1(expected: Column, answer: Column) -> Column:
     return F.round(F.when((a > 0) & (b > 0), 2.0 * common / (a + b)).otherwise(0.0), 6)
 
 
+def char_f1(df: DataFrame, key: str, expected: str, answer: str) -> DataFrame:
+    """key and char_f1 of two normalised texts."""
+    return df.select(key, bag_f1(F.col(expected), F.col(answer)).alias("char_f1"))
+
+
 def keyword_recall(keywords: Column, answer: Column) -> Column:
     """The share of keywords in the answer; null without keywords."""
     own = F.filter(keywords, lambda k: k != "")
@@ -131,7 +136,7 @@ def score_responses(samples: DataFrame, responses: DataFrame, least: float = 75.
         "expected_chunk_ids": _ids(c("source_chunk_ids")),
         "retrieved_document_ids": retrieved_ids(c("retrieved_document_ids"), c("citations"), "document_id"),
         "retrieved_chunk_ids": retrieved_ids(c("retrieved_chunk_ids"), c("citations"), "chunk_id"),
-        "answer_char_f1": F.round(char_f1(metric_text(F.coalesce("expected_answer", F.lit(""))), normal), 4),
+        "answer_char_f1": F.round(bag_f1(metric_text(F.coalesce("expected_answer", F.lit(""))), normal), 4),
         "keyword_recall": F.round(keyword_recall(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), metric_text), normal), 4),
         "answer_score": F.when(~refuse, c("answer_score")),
     })

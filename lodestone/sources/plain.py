@@ -90,7 +90,11 @@ def json_lines(text: str) -> str:
 
 def xml_source(content: bytes) -> Source:
     """Distinct texts at the beginning of elements and values of attributes, in document order; a written-out \\r\\n is a line break."""
-    root = ElementTree.fromstring(content)
+    try:
+        root = ElementTree.fromstring(content)
+    except ValueError:
+        # the parser doesn't know encodings of several bytes
+        root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", decode(content)))
     values = (v for e in root.iter() for v in (e.text or "", *e.attrib.values()))
     cleaned = (v.replace(r"\r\n", "\n").strip() for v in values)
     return None, root.tag, "\n".join(dict.fromkeys(filter(None, cleaned)))
