@@ -20,35 +20,34 @@ from ._common import releasing
 HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_TAGS = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: What plain text is made of, step by step.
-STEPS = (
-    (r"(?is)<script\b[^>]*>.*?</script\s*>", " "),
-    (r"(?is)<style\b[^>]*>.*?</style\s*>", " "),
-    (r"(?s)<!--.*?-->", " "),
-    (rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&euro;", "€"),
-    ("&amp;", "&"),
-    (r"[\t\r\f ]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-)
+#: What plain text is made of: these before entities are read, and those after.
+CUTS = ((r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " "), (rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n"), (r"<[^>]*>", ""))
+SPACING = ((r"[\t\r\f ]+", " "), (r" ?\n[ \n]*", "\n"))
+# Entities and what they stand for.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "amp": "&", "ndash": "–", "mdash": "—", "hellip": "…", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£", "middot": "·", "bull": "•", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "deg": "°", "sect": "§",
+}
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its entities read once: it is cut before each &, and what stands up to the next ; is looked up. Others stay as they are."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def read(part: Column, i: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        sign = F.when((i > 0) & F.contains(part, F.lit(";")), F.try_element_at(known, name))
+        return F.when(i == 0, part).when(sign.isNotNull(), F.concat(sign, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    return F.array_join(F.transform(F.split(text, "&"), read), "")
 
 
 def plain_text(html: Column) -> Column:
     out = html
-    for pattern, by in STEPS:
-        out = F.replace(out, F.lit(pattern), F.lit(by)) if pattern[0] == "&" else F.regexp_replace(out, pattern, by)
+    for pattern, by in CUTS:
+        out = F.regexp_replace(out, pattern, by)
+    out = unescaped(out)
+    for pattern, by in SPACING:
+        out = F.regexp_replace(out, pattern, by)
     return F.btrim(out, F.lit(" \n"))
 
 
@@ -207,12 +206,12 @@ PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files: headers (an array of name and value, as they stand), fields (a map with the first value of each name), and block in bytes. A file without records, or with a broken one, is an error that names it."""
+    """The records of WARC files: headers (an array of name and value, as they stand), fields (a map with the first value of each name), content (the block's bytes), and block (its text, with the sign for unreadable bytes where there are any). A file without records, or with a broken one, is an error that names it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows) -> pa.RecordBatch:
             heads = pa.array([[{"name": k, "value": v} for k, v in fields] for fields, _ in rows], PAIRS)
-            return pa.RecordBatch.from_arrays([heads, pa.array([block for _, block in rows], pa.binary())], ["headers", "block"])
+            return pa.RecordBatch.from_arrays([heads, pa.array([block for _, block in rows], pa.binary())], ["headers", "content"])
 
         for files in batches:
             for at, content in zip(files.column(0), files.column(1), strict=True):
@@ -229,22 +228,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    records = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(releasing(read), "headers array<struct<name:string,value:string>>, block binary")
+    records = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(releasing(read), "headers array<struct<name:string,value:string>>, content binary")
     first = F.aggregate("headers", F.create_map().cast("map<string,string>"), lambda m, h: F.when(F.map_contains_key(m, h["name"]), m).otherwise(F.map_concat(m, F.create_map(h["name"], h["value"]))))
-    return records.select("headers", first.alias("fields"), "block")
+    return records.select("headers", first.alias("fields"), "content", F.make_valid_utf8(F.col("content").cast("string")).alias("block"))
 
 
 def responses(records: DataFrame) -> DataFrame:
     """Rows for derive() from what read_warc gives: record_id, url, date, headers and html of each response. The HTTP message is cut at its first empty line; its body counts as UTF-8, and other bytes in it as the sign for unreadable ones."""
     own = records.where(F.lower(F.col("fields")["WARC-Type"]) == "response")
     # bytes as characters of one byte each, so places can be counted
-    message = F.decode("block", "ISO-8859-1")
+    message = F.decode("content", "ISO-8859-1")
     crlf, lf = F.instr(message, "\r\n\r\n"), F.instr(message, "\n\n")
     short = (lf > 0) & ((crlf == 0) | (lf < crlf))
-    head = F.when(short, lf).when(crlf > 0, crlf + 1).otherwise(F.octet_length("block"))
-    body = F.when(short, lf + 2).when(crlf > 0, crlf + 4).otherwise(F.octet_length("block") + 1)
-    made = lambda begin, n: F.substring(F.col("block"), begin, n)
-    text = F.make_valid_utf8(made(body, F.octet_length("block")).cast("string"))
+    head = F.when(short, lf).when(crlf > 0, crlf + 1).otherwise(F.octet_length("content"))
+    body = F.when(short, lf + 2).when(crlf > 0, crlf + 4).otherwise(F.octet_length("content") + 1)
+    made = lambda begin, n: F.substring(F.col("content"), begin, n)
+    text = F.make_valid_utf8(made(body, F.octet_length("content")).cast("string"))
     return own.select(
         F.col("fields")["WARC-Record-ID"].alias("record_id"), F.col("fields")["WARC-Target-URI"].alias("url"), F.col("fields")["WARC-Date"].alias("date"), F.make_valid_utf8(made(F.lit(1), head).cast("string")).alias("headers"), text.alias("html")
     )

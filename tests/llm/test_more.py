@@ -292,7 +292,7 @@ def test_warc_odd_pages(spark, tmp_path):
     for how in ("gzip", "none"):
         warc_derivatives.write_warc(records, str(tmp_path / how), how)
         back = warc_derivatives.read_warc(spark, str(tmp_path / how)).collect()
-        assert sorted((x.fields["WARC-Record-ID"], bytes(x.block).decode(), x.fields["WARC-Source-Headers"], x.fields["WARC-Date"]) for x in back) == sorted((x.record_id, x.block, x.source_headers, x.date) for x in got)
+        assert sorted((x.fields["WARC-Record-ID"], bytes(x.content).decode(), x.fields["WARC-Source-Headers"], x.fields["WARC-Date"]) for x in back) == sorted((x.record_id, x.block, x.source_headers, x.date) for x in got)
     (file,) = [p for p in (tmp_path / "gzip").glob("part-*") if p.stat().st_size][:1]
     assert gzip.decompress(file.read_bytes()).startswith(b"WARC/1.1\r\n")
     assert warc_derivatives.derive(pages.limit(0)).count() == 0
