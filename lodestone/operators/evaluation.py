@@ -74,17 +74,17 @@ def outside_tenant(samples: DataFrame, documents: DataFrame, ids: str = "source_
 
 
 def bag_f1(expected: Column, answer: Column) -> Column:
-    """F1 of two normalised texts as bags of characters, to six digits; 0 if one is empty. Each row is counted by itself: how often a character occurs is what the text loses without it."""
+    """F1 of two normalised texts as bags of characters; 0 if one is empty. Each row is counted by itself: how often a character occurs is what the text loses without it."""
     times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
     chars = F.filter(F.array_distinct(F.split(expected, "")), lambda c: c != "")
     common = F.aggregate(chars, F.lit(0).cast("int"), lambda n, c: n + F.least(times(expected, c), times(answer, c)))
     a, b = F.length(expected), F.length(answer)
-    return F.round(F.when((a > 0) & (b > 0), 2.0 * common / (a + b)).otherwise(0.0), 6)
+    return F.when((a > 0) & (b > 0), 2.0 * common / (a + b)).otherwise(0.0)
 
 
 def char_f1(df: DataFrame, key: str, expected: str, answer: str) -> DataFrame:
-    """key and char_f1 of two normalised texts."""
-    return df.select(key, bag_f1(F.col(expected), F.col(answer)).alias("char_f1"))
+    """key and char_f1 of two normalised texts, to six digits."""
+    return df.select(key, F.round(bag_f1(F.col(expected), F.col(answer)), 6).alias("char_f1"))
 
 
 def keyword_recall(keywords: Column, answer: Column) -> Column:
