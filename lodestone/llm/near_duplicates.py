@@ -361,3 +361,29 @@ def _sizes(n, m, percent: int):
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
+#: Every pair that shares a shingle and whose sizes allow a link is counted; what links reach is followed step by step.
+OP1_SQL = r"""
+with recursive dw as (
+    select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), shingle as (
+    select distinct doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) as i from dw where len(w) > 0)
+), size as (
+    select doc_id, count(*) as n from shingle group by doc_id
+), sized as (
+    select doc_id, s, n from shingle join size using (doc_id)
+), met as (
+    select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as common
+    from sized a join sized b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) group by all
+), link as (
+    select x, y from met where 100 * common >= 75 * (nx + ny - common)
+), step as (
+    select x, y from link union all select y, x from link
+), reach as (
+    select doc_id, doc_id as other from dw
+    union
+    select doc_id, y from reach join step on other = x
+)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, min(other) as component_id from reach left join size using (doc_id) group by doc_id, n
+"""

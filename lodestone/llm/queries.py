@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 SQL = {
+    "op1_near_duplicates": near_duplicates.OP1_SQL,
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op6_warc_derivatives": warc_derivatives.OP6_SQL,
     "op9_sharding": sharding.OP9_SQL,
