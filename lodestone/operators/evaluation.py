@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intent import is_refusal
 from ..functions.text import metric_text
+from ..sources.gateway import post_json
 
 SAMPLE = "question_id string, question string, question_type string, difficulty string, expected_answer string, source_document_ids array<string>, source_chunk_ids array<string>, keywords array<string>, should_refuse boolean, status string"
 _NAMES = [f.split()[0] for f in SAMPLE.split(", ")]
@@ -54,6 +55,26 @@ def _sample(where: str, line: str) -> dict:
     return row | {"should_refuse": bool(made.get("should_refuse"))}
 
 
+def export_samples(spark: SparkSession, url: str, ids: list[str] = (), every: bool = False, post: Callable = post_json) -> tuple[DataFrame, dict]:
+    """Samples and metadata from a remote tool's export: those with the ids if any are given, else approved ones, or every one. An answer without samples, or a sample that lacks its question or id, is an error."""
+    wanted = list(dict.fromkeys(i.strip() for i in ids if i.strip()))
+    # Words of the request, and its path
+    request = {"format": "jsonl", "scope": "selected" if wanted else "all" if every else "approved"} | ({"questionIds": wanted} if wanted else {})
+    status, _, body = post(f"{url.rstrip('/')}/api/datasets/export", "", request)
+    if status >= 400:
+        raise ValueError(f"the export of {url} failed: {status}")
+    data = json.loads(body).get("data")
+    told = data.get("samples") if isinstance(data, dict) else None
+    if not isinstance(told, list) or not told:
+        raise ValueError(f"the export of {url} has no samples")
+    # an export is one answer held by the driver, so its rows are few
+    rows = [_sample(f"sample {n}", json.dumps(x)) if isinstance(x, dict) else {"fault": f"sample {n} is no object"} for n, x in enumerate(told, 1)]
+    if faults := [r["fault"] for r in rows if r.get("fault")]:
+        raise ValueError(faults[0])
+    samples = spark.createDataFrame([tuple(r[n] for n in _NAMES) for r in rows], SAMPLE)
+    return select_samples(samples, wanted), data["metadata"] if isinstance(data.get("metadata"), dict) else {}
+
+
 def select_samples(samples: DataFrame, ids: list[str]) -> DataFrame:
     """The samples asked for by trimmed ids; all if none is given. Ids that no sample has are an error that lists them."""
     wanted = {i.strip() for i in ids} - {""}

@@ -51,7 +51,7 @@ class HashingGateway:
 
 def post_json(url: str, key: str, payload: dict, timeout: float = 180.0) -> tuple[int, dict, bytes]:
     body = json.dumps(payload, ensure_ascii=False).encode()
-    request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {}))
     try:
         with urllib.request.urlopen(request, timeout=timeout) as answer:
             return answer.status, dict(answer.headers), answer.read()

@@ -1,5 +1,6 @@
 """Literal cases of parsers, evaluation, gateways, stored tables and streams."""
 
+import hashlib
 import io
 import json
 import struct
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import intent, text
 from lodestone.operators import answers, evaluation, metadata, store
-from lodestone.sources import gateway, maps, office, parsers, plain
+from lodestone.sources import gateway, maps, objects, office, parsers, plain
 from lodestone.streaming import ingest
 
 
@@ -272,3 +273,66 @@ def test_formulas(spark):
     cases = {r"a \( x \) b": "a $x$ b", r"\[ y" + "\n\\]": "\n$$\ny\n$$\n", r"`\(x\)` \(z\)": r"`\(x\)` $z$", r"(\alpha+1) and (plain)": r"$\alpha+1$ and (plain)", "~~~\n(\\pi)\n~~~": "~~~\n(\\pi)\n~~~", "": ""}
     for raw, want in cases.items():
         assert one(spark, text.dollar_formulas(F.lit(raw))) == want
+
+
+def test_exported_samples(spark):
+    asked = []
+
+    def post(answer, status=200):
+        def run(url, key, payload):
+            asked.append((url, payload))
+            return status, {}, json.dumps(answer).encode()
+
+        return run
+
+    two = {"data": {"samples": [{"question_id": 1, "question": "a", "keywords": ["k", 2]}, {"question_id": "x", "question": "b", "status": "draft"}], "metadata": {"v": 3}}}
+    samples, about = evaluation.export_samples(spark, "http://h/", every=True, post=post(two))
+    assert [(r.question_id, r.keywords, r.status) for r in samples.orderBy("question_id").collect()] == [("1", ["k", "2"], None), ("x", [], "draft")]
+    assert about == {"v": 3}
+    samples, _ = evaluation.export_samples(spark, "http://h", [" x ", "x", ""], post=post(two))
+    assert [r.question_id for r in samples.collect()] == ["x"]
+    scope = [("http://h/api/datasets/export", {"format": "jsonl", "scope": "all"}), ("http://h/api/datasets/export", {"format": "jsonl", "scope": "selected", "questionIds": ["x"]})]
+    assert asked == scope
+    for answer, status, why in (({}, 200, "no samples"), ({"data": {"samples": []}}, 200, "no samples"), ({"data": {"samples": [{"question": "a"}]}}, 200, "sample 1"), ({"data": {"samples": [3]}}, 200, "sample 1"), ({}, 503, "503")):
+        with pytest.raises(ValueError, match=why):
+            evaluation.export_samples(spark, "http://h", post=post(answer, status))
+    with pytest.raises(ValueError, match="y"):
+        evaluation.export_samples(spark, "http://h", ["y"], post=post(two))
+
+
+def test_objects(spark, tmp_path):
+    own = objects.Objects(spark, f"file://{tmp_path}")
+    big = bytes(range(256)) * 10_000
+    assert own.put("a/b.bin", io.BytesIO(big)) == len(big)
+    assert own.put("empty", b"") == 0
+    with own.fetch("a/b.bin") as f:
+        assert f.read() == big
+    assert own.digest("a/b.bin") == hashlib.sha256(big).hexdigest()
+    assert own.digest("empty") == hashlib.sha256(b"").hexdigest()
+    own.put("a/b.bin", b"new")
+    assert b"".join(own.pieces("a/b.bin")) == b"new"
+    own.delete("a/b.bin")
+    own.delete("a/b.bin")
+    assert not own.exists("a/b.bin")
+    with pytest.raises(FileNotFoundError):
+        own.fetch("a/b.bin")
+    for name in ("", "/a", "a/../b"):
+        with pytest.raises(ValueError):
+            own.put(name, b"")
+
+
+def test_collections(spark, tmp_path):
+    own = objects.Objects(spark, f"file://{tmp_path}")
+    made = {"size": 2, "metric": "cosine", "index": {"cells": 16}}
+    assert objects.ensure_collection(own, "c", 2, cells=16) == made
+    assert objects.ensure_collection(own, "c", 2) == made
+    assert objects.ensure_collection(own, "c", 2, probes=4)["index"] == {"cells": 16, "probes": 4}
+    with pytest.raises(ValueError, match="not 3"):
+        objects.ensure_collection(own, "c", 3)
+    with pytest.raises(ValueError):
+        objects.ensure_collection(own, "d", 0)
+    points = spark.createDataFrame([([1.0, 2.0],), ([1.0],), (None,)], "embedding array<double>")
+    assert objects.of_size(points.limit(1), 2).count() == 1
+    for bad in ("size(embedding) = 1", "embedding is null"):
+        with pytest.raises(Exception, match="vectors of 2"):
+            objects.of_size(points.where(bad), 2).collect()
