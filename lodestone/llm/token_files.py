@@ -10,22 +10,26 @@ Encoding goes by parts: a text is cut before spaces, where the byte-level splitt
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import delete_at_exit, documents, new_path, releasing
+from ._common import delete_at_exit, documents, new_path, release, releasing
 
 END_ID = 0
 #: Parts, and pieces, that a worker remembers.
 CACHE = 250_000
+#: Bytes of text that are encoded at once.
+RUN_BYTES = 2 << 20
 STRIPE_BYTES, STRIDE_ROWS = 64 << 20, 1000
 _workers: dict = {}
 
@@ -37,7 +41,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class PieceEncoder:
-    """Text to ids, as little-endian 32-bit bytes. Equal to the tokenizer's encoding of the whole text.
+    """Texts to ids, kept as little-endian 32-bit bytes. Equal to the tokenizer's encoding of the whole texts.
 
     `parts` holds what follows a space, `pieces` what the byte-level splitter makes of a part; each is encoded once while there is room.
     """
@@ -65,36 +69,60 @@ class PieceEncoder:
         return ids
 
     def part(self, text: str, plain: bool, space: str = "") -> bytes:
-        """plain: PLAIN matches it. Letters are one piece, and a mark after them another; what else there is goes to the splitter."""
+        """plain: PLAIN matches it. Letters are one piece, and marks after them another; what else there is goes to the splitter."""
         if plain:
-            if text.isalpha():
-                return self.piece(space + text)
-            if text[-1:] in MARKS and text[:-1].isalpha():
-                return self.piece(space + text[:-1]) + self.piece(text[-1])
+            word = text.rstrip(MARKS)
+            if word.isalpha():
+                return self.piece(space + word) + self.piece(text[len(word) :]) if len(word) < len(text) else self.piece(space + word)
             return b"".join([self.piece(p) for p in SPLIT.findall(space + text)])
         if PLAIN.fullmatch(text):
             return self.part(text, True, space)
         return self.whole(space + text)
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def cut(self, text: str) -> bool:
+        """Whether pieces end before every space of the text, so that parts can be encoded by themselves."""
         if self.special is not None and "<|" in text and self.special.search(text):
-            return self.whole(text)
-        if " \n" in text or "\n " in text or "  " in text or OTHER_SPACE.search(text) or text[-1] == " ":
-            if ODD_SPACE.search(text):
-                return self.whole(text)
-        first, *rest = text.split(" ")
-        plain = PLAIN.fullmatch(text) is not None
-        known = self.parts
-        ids = list(map(known.get, rest))
-        if None in ids:
-            for i, (p, found) in enumerate(zip(rest, ids, strict=True)):
-                if found is None:
-                    ids[i] = new = self.part(p, plain, " ")
-                    if len(known) < CACHE:
-                        known[p] = new
-        return self.part(first, plain) + b"".join(ids)
+            return False
+        if " \n" in text or "\n " in text or "  " in text or text[-1:] == " " or _other_space(text):
+            return ODD_SPACE.search(text) is None
+        return True
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, each with the end id after it, and how many each has. Every different part of the texts is looked up once."""
+        end, heads, cut = np.array([end_id], "<u4").tobytes(), [], []
+        for text in texts.to_pylist():
+            cut.append(own := self.cut(text or ""))
+            # what begins a text has no space before it; a text that isn't cut is all beginning
+            heads.append(self.part((text or "").split(" ", 1)[0], False) if own else self.whole(text))
+        lists = pc.split_pattern(pc.if_else(pa.array(cut), pc.fill_null(texts, ""), ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        # no part has a space, so all come over as one text
+        every = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+        parts, known, plain = every.split(" "), self.parts, PLAIN.fullmatch(every) is not None
+        found = list(map(known.get, parts))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = ids = self.part(parts[i], plain, " ")
+                if len(known) < CACHE:
+                    known[parts[i]] = ids
+        # the end id of a text stands before the beginning of the next
+        table = [*found, heads[0], *(end + h for h in heads[1:])]
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start = np.cumsum(size) - size
+        units = coded.indices.to_numpy().copy()
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        units[first] = len(found) + np.arange(len(first))
+        n = size[units]
+        to = np.cumsum(n)
+        ids = np.empty(to[-1] + 1, "<u4")
+        at = np.repeat(start[units] - to + n, n)
+        at += np.arange(to[-1])
+        np.take(np.frombuffer(b"".join(table), "<u4"), at, out=ids[:-1])
+        ids[-1] = end_id
+        # all but the first have counted the end id before them in place of their own
+        lengths = np.add.reduceat(n, first)
+        lengths[0] += 1
+        return ids, lengths
 
 
 #: The splitter of the byte-level tokenizer, for texts of the scripts named in PLAIN, on which Unicode versions agree.
@@ -103,9 +131,21 @@ PLAIN = re.compile(r"[\x09\x0A\x0D\x20-\x7E\xA1-\u024F]*")
 #: A space between white space, or at the end after some: cutting there changes pieces; before any other space the splitter cuts itself.
 ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Those among the first 256 characters.
+NARROW_SPACES = tuple(c for c in map(chr, range(256)) if OTHER_SPACE.match(c))
 
 
-MARKS = tuple(".,;:!?")
+def _other_space(text: str) -> bool:
+    try:
+        text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        return OTHER_SPACE.search(text) is not None
+    # ten searches for a character take less than one for a class
+    return any(c in text for c in NARROW_SPACES)
+
+
+#: Marks of ASCII, which the splitter leaves together where no letter or number follows them.
+MARKS = string.punctuation
 
 
 def _byte_letters() -> dict[int, int]:
@@ -123,23 +163,19 @@ def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
             _workers[path] = PieceEncoder(path)
-        encoder, end = _workers[path], np.array([end_id], "<u4").tobytes()
-        before = 0
+        encoder, before = _workers[path], 0
         for batch in batches:
-            at, texts = 0, batch.column(1)
-            while at < len(texts):
-                # some 4 MB of ids at once; a longer document by itself
-                run, size = [], 0
-                while at + len(run) < len(texts) and (not run or size < 4 << 20):
-                    run.append(encoder(texts[at + len(run)].as_py() or "") + end)
-                    size += len(run[-1])
-                lengths = np.array([len(e) // 4 for e in run], np.int64)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < len(sizes):
+                # so many bytes of text at once; a longer document by itself
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + RUN_BYTES, "right")))
+                flat, lengths = encoder(batch.column(1).slice(at, to - at), end_id)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
-                ids = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(run))])
+                ids = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(before + offsets[:-1], pa.int64()), pa.array(lengths), lists], ["doc_id", "part_start", "n_ids", "ids"])
-                before += int(offsets[-1])
-                at += len(run)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(before + offsets[:-1], pa.int64()), pa.array(lengths), lists], ["doc_id", "part_start", "n_ids", "ids"])
+                before, at = before + len(flat), to
 
     return encode
 
@@ -171,6 +207,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # files are whole before they are read, so a worker that encoded them needs its encoder no more
     _workers.clear()
+    release()
     for batch in batches:
         lists = batch.column("ids")
         offsets, data = lists.offsets.to_numpy(), memoryview(lists.values.to_numpy().astype("<u4", copy=False)).cast("B")
