@@ -27,9 +27,9 @@ from ._common import delete_at_exit, documents, new_path, release, releasing
 
 END_ID = 0
 #: Parts, and pieces, that a worker remembers.
-CACHE = 250_000
+CACHE = 200_000
 #: Bytes of text that are encoded at once.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 STRIPE_BYTES, STRIDE_ROWS = 64 << 20, 1000
 _workers: dict = {}
 
