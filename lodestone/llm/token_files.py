@@ -4,7 +4,7 @@ A row of a file is a document: doc_id, its ids with an end id after them, how ma
 
 A null text counts as empty: it has the end id alone. Null doc_ids come first. Rows with equal doc_ids follow each other in the order of their texts' hashes, and `start` counts in the order in which rows stand in the files. Columns other than id and text aren't read, whatever their names. An empty table gives no rows.
 
-Encoding goes by parts: a text is cut before spaces, where the byte-level splitter of the tokenizer cuts too, and a part that a worker hasn't met is split and encoded by the tokenizer's model. A text in which that could differ (a space between white space, the string of a special token) is encoded whole, and so is a part in scripts on which Unicode versions may differ.
+Encoding goes by parts: a text is cut before spaces, where the byte-level splitter of the tokenizer cuts too, and parts that a worker hasn't met are split and encoded by the tokenizer's model, many at once. A text in which that could differ (a space between white space, the string of a special token) is encoded whole, and so is a part in scripts on which Unicode versions may differ.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from ._common import delete_at_exit, documents, new_path, release, releasing
 
 END_ID = 0
 #: Parts, and pieces, that a worker remembers.
-CACHE = 200_000
+PARTS, PIECES = 200_000, 300_000
+#: Pieces that the model encodes in one call.
+AT_ONCE = 512
 #: Bytes of text that are encoded at once.
 RUN_BYTES = 1 << 20
 STRIPE_BYTES, STRIDE_ROWS = 64 << 20, 1000
@@ -53,28 +56,60 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.separator = self._separator()
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _separator(self) -> int | None:
+        """The id of the letter that stands for byte 255, which UTF-8 never has, if no longer token holds it: the model merges nothing with it."""
+        holding = [i for token, i in self.tokenizer.get_vocab().items() if BYTE_LETTERS[255] in map(ord, token)]
+        return holding[0] if len(holding) == 1 and self.tokenizer.id_to_token(holding[0]) == chr(BYTE_LETTERS[255]) else None
+
+    def _model(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of PLAIN texts by the tokenizer's model, which takes many with a separator after each; one by one where there is no such."""
+        if self.separator is None:
+            return [array("I", [t.id for t in self.model.tokenize(_letters(p))]).tobytes() for p in pieces]
+        found = []
+        for at in range(0, len(pieces), AT_ONCE):
+            ids = np.array([t.id for t in self.model.tokenize(_letters("\0".join([*pieces[at : at + AT_ONCE], ""])))], "<u4")
+            ends = 4 * np.flatnonzero(ids == self.separator)
+            every = ids.tobytes()
+            found += [every[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+        return found
+
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            letters = piece.replace(" ", SPACE_LETTER) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            if len(self.pieces) < CACHE:
+            ids = self._model([piece])[0]
+            if len(self.pieces) < PIECES:
                 self.pieces[piece] = ids
         return ids
 
+    def plain_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts with a space before each. PLAIN matches them, and none is empty or begins with white space, so the splitter makes of all together what it makes of each, and a piece with a space begins a part."""
+        pieces = SPLIT_PLAIN.findall(" " + " ".join(parts))
+        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
+        made = dict(zip(new, self._model(new), strict=True))
+        self.pieces.update(islice(made.items(), max(0, PIECES - len(self.pieces))))
+        found: list[bytes] = []
+        for piece in pieces:
+            ids = made[piece] if piece in made else self.pieces[piece]
+            if piece[0] == " ":
+                found.append(ids)
+            else:
+                found[-1] += ids
+        return found
+
     def part(self, text: str, plain: bool, space: str = "") -> bytes:
         """plain: PLAIN matches it. Letters are one piece, and marks after them another; what else there is goes to the splitter."""
         if plain:
             word = text.rstrip(MARKS)
             if word.isalpha():
                 return self.piece(space + word) + self.piece(text[len(word) :]) if len(word) < len(text) else self.piece(space + word)
-            return b"".join([self.piece(p) for p in SPLIT.findall(space + text)])
+            return b"".join([self.piece(p) for p in SPLIT_PLAIN.findall(space + text)])
         if PLAIN.fullmatch(text):
             return self.part(text, True, space)
         return self.whole(space + text)
@@ -93,18 +128,21 @@ class PieceEncoder:
         for text in texts.to_pylist():
             cut.append(own := self.cut(text or ""))
             # what begins a text has no space before it; a text that isn't cut is all beginning
-            heads.append(self.part((text or "").split(" ", 1)[0], False) if own else self.whole(text))
+            heads.append(self.part((text or "").partition(" ")[0], False) if own else self.whole(text))
         lists = pc.split_pattern(pc.if_else(pa.array(cut), pc.fill_null(texts, ""), ""), " ")
         coded = lists.flatten().dictionary_encode()
         # no part has a space, so all come over as one text
         every = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
         parts, known, plain = every.split(" "), self.parts, PLAIN.fullmatch(every) is not None
         found = list(map(known.get, parts))
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = ids = self.part(parts[i], plain, " ")
-                if len(known) < CACHE:
-                    known[parts[i]] = ids
+        new = [i for i, ids in enumerate(found) if ids is None]
+        together = [i for i in new if parts[i] and not parts[i][0].isspace() and (plain or PLAIN.fullmatch(parts[i]))]
+        for i, ids in zip(together, self.plain_parts([parts[i] for i in together]) if together else [], strict=True):
+            found[i] = ids
+        for i in new:
+            if found[i] is None:
+                found[i] = self.part(parts[i], plain, " ")
+        known.update((parts[i], found[i]) for i in new[: max(0, PARTS - len(known))])
         # the end id of a text stands before the beginning of the next
         table = [*found, heads[0], *(end + h for h in heads[1:])]
         size = np.fromiter(map(len, table), np.int64, len(table)) // 4
@@ -125,9 +163,18 @@ class PieceEncoder:
         return ids, lengths
 
 
-#: The splitter of the byte-level tokenizer, for texts of the scripts named in PLAIN, on which Unicode versions agree.
-SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Texts of scripts on which Unicode versions agree.
 PLAIN = re.compile(r"[\x09\x0A\x0D\x20-\x7E\xA1-\u024F]*")
+
+
+def _split_plain() -> re.Pattern:
+    """The splitter of the byte-level tokenizer, with its classes written out for the characters of PLAIN."""
+    plain = "".join(c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c))
+    letters, numbers, marks = ("".join(map(re.escape, regex.findall(c, plain))) for c in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[{marks}]+|\s+(?!\S)|\s+")
+
+
+SPLIT_PLAIN = _split_plain()
 #: A space between white space, or at the end after some: cutting there changes pieces; before any other space the splitter cuts itself.
 ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -156,7 +203,12 @@ def _byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = _byte_letters()
-SPACE_LETTER = chr(BYTE_LETTERS[32])
+#: The same as code points by byte; byte 0, which PLAIN hasn't, gives the letter of the separator.
+LETTERS = np.array([BYTE_LETTERS[b or 255] for b in range(256)], "<u4")
+
+
+def _letters(text: str) -> str:
+    return LETTERS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
 
 
 def _encode(path: str, end_id: int):

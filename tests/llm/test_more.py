@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -74,6 +75,38 @@ def test_token_files_stand_in_the_order_of_starts(spark, tmp_path):
         assert zlib.crc32(np.array(every[x.start : x.start + x.n_tokens], "<u4").tobytes()) == x.ids_crc32
 
 
+class _Counted:
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, text):
+        self.calls += 1
+        return self.model.tokenize(text)
+
+
+@pytest.mark.parametrize(("separator", "limit"), [(True, None), (True, 7), (False, None)])
+def test_new_pieces_go_to_the_model_together(monkeypatch, separator, limit):
+    if limit is not None:
+        monkeypatch.setattr(token_files, "PARTS", limit)
+        monkeypatch.setattr(token_files, "PIECES", limit)
+    encoder = token_files.PieceEncoder(token_files.tokenizer_path())
+    if not separator:
+        monkeypatch.setattr(encoder, "separator", None)
+    r = np.random.default_rng(3)
+    bits = [*"abcXYZ019.,;!'\"#", " ", " ", " ", "\n", "\t", "\r", "it's", "'ll", "ñ", "ü", "ÿ", "Ā", "ɏ", "²", "½", "«", "÷", "\xa0", "\x85", "\0", "€", "漢字", "🙂", "<|endoftext|>", "  ", "\n\n", " \n ", "\n x"]
+    texts = ["".join(r.choice(bits[:28], r.integers(0, 60))) for _ in range(300)] + ["".join(r.choice(bits, r.integers(0, 60))) for _ in range(300)] + [None, "", " ", "ÿ", "\n", "x ÿ y", "a \n", "a  b"]
+    for some in (texts[:300], texts, texts):
+        ids, lengths = encoder(pa.array(some, pa.string()), 0)
+        want = [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in some]
+        assert lengths.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
+    assert limit is None or (len(encoder.parts) <= limit and len(encoder.pieces) <= limit)
+    encoder.model = counted = _Counted(encoder.model)
+    words = ["".join(r.choice(list("abcdefghij"), 9)) for _ in range(2000)]
+    encoder(pa.array([" ".join(["a", *words])]), 0)
+    assert counted.calls < 20 if separator else counted.calls > 1900
+
+
 def _xx(seed, *values):
     h = seed
     for v in values:
