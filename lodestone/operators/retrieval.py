@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,11 +58,8 @@ def top_k(points: DataFrame, questions: DataFrame, k: int, on: str | list[str],
             ids, m = ids[good := np.isfinite(m).all(axis=1)], m[good]
             names, v = asked[question].to_numpy(), _unit(asked["_q"])
             names, v = names[good := np.isfinite(v).all(axis=1)], v[good]
-            for i in range(0, len(v) if len(m) else 0, STEP):
-                for name, row in zip(names[i : i + STEP], np.clip(np.round(v[i : i + STEP] @ m.T, 6), -1, 1), strict=True):
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    best = near[np.lexsort((ids[near], -row[near]))][:k]
-                    out.append((np.full(len(best), name, names.dtype), ids[best], row[best]))
+            if len(m):
+                out += [(np.full(len(near), name, names.dtype), near, scores) for name, (near, scores) in zip(names, _nearest(v, m, ids, k), strict=True)]
         return pd.DataFrame({c: np.concatenate([x[i] for x in out]) if out else [] for i, c in enumerate((question, point, "score"))})
 
     by = [*on, "_p", "_s"]
@@ -71,6 +70,19 @@ def top_k(points: DataFrame, questions: DataFrame, k: int, on: str | list[str],
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _nearest(v: np.ndarray, m: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the k nearest rows of m for each row of v. All steps are scored and rounded in one array."""
+    room = np.empty((min(STEP, len(v)), len(m)))
+    for i in range(0, len(v), STEP):
+        step = v[i : i + STEP]
+        scores = np.matmul(step, m.T, out=room[: len(step)])
+        np.clip(np.round(scores, 6, out=scores), -1, 1, out=scores)
+        for row in scores:
+            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+            best = near[np.lexsort((ids[near], -row[near]))][:k]
+            yield ids[best], row[best]
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -1,9 +1,11 @@
 """Literal cases of the text, parser, retrieval and evaluation modules."""
 
 import io
+import tracemalloc
 import uuid
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,19 @@ def test_byte_strings():
 def test_byte_strings_limit():
     assert len(parsers.byte_strings("x", b"\x00".join(b"word%07d" % i for i in range(20000)))[0][2]) < 120_000
     assert parsers.byte_strings("x", b"")[0][2].endswith("可读字符串:\n")
+
+
+def test_top_k_room(spark):
+    rng = np.random.default_rng(1)
+    m, ids = rng.normal(size=(20_000, 8)), np.arange(20_000)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = list(retrieval._nearest(m[:600], m, ids, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # one array of a step's scores, and little beside
+    assert peak < 1.3 * 8 * retrieval.STEP * len(m)
+    for i in (0, 255, 256, 599):
+        scores = np.clip(np.round(m @ m[i], 6), -1, 1)
+        want = np.lexsort((ids, -scores))[:3]
+        assert got[i][0].tolist() == want.tolist() and np.allclose(got[i][1], scores[want], atol=1e-6)
