@@ -17,12 +17,15 @@ TILE_POINTS, TILE_QUESTIONS, STEP = 16384, 4096, 256
 MOST_BROADCAST = 200_000
 
 
-def _tiled(df: DataFrame, sizes: DataFrame, few: bool, own: str, other: str, on: list[str], row: str) -> DataFrame:
-    """Each row with its own tile number by hash and once for each tile of the other side; keys of one tile have none in `sizes`."""
-    sizes = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in on], own, other)
-    sizes = F.broadcast(sizes) if few else sizes
-    match = [F.col(c) == F.col(f"_k_{c}") for c in on]
-    df = df.join(sizes, match, "left").drop(*[f"_k_{c}" for c in on]).fillna(1, [own, other])
+def _tiled(df: DataFrame, sizes: DataFrame | None, few: bool, own: str, other: str, on: list[str], row: str) -> DataFrame:
+    """Each row with its own tile number by hash and once for each tile of the other side; keys of one tile have none in `sizes`, which is None where all keys have one."""
+    if sizes is None:
+        df = df.withColumns({own: F.lit(1), other: F.lit(1)})
+    else:
+        sizes = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in on], own, other)
+        sizes = F.broadcast(sizes) if few else sizes
+        match = [F.col(c) == F.col(f"_k_{c}") for c in on]
+        df = df.join(sizes, match, "left").drop(*[f"_k_{c}" for c in on]).fillna(1, [own, other])
     tile = F.pmod(F.xxhash64(row), F.col(own)).cast("int")
     return df.withColumn(own, tile).withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int"))))
 
@@ -43,7 +46,8 @@ def top_k(points: DataFrame, questions: DataFrame, k: int, on: str | list[str],
     large = sizes.limit(MOST_BROADCAST + 1).toPandas()
     few = len(large) <= MOST_BROADCAST
     if few:
-        sizes = points.sparkSession.createDataFrame(large, sizes.schema)
+        # an empty frame would come from Python workers on all executors, beside those that score
+        sizes = points.sparkSession.createDataFrame(large, sizes.schema) if len(large) else None
     left = _tiled(points, sizes, few, "_p", "_s", on, point)
     right = _tiled(questions, sizes, few, "_s", "_p", on, question)
     pid, qid = (dict(df.dtypes)[c] for df, c in ((points, point), (questions, question)))

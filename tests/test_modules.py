@@ -163,3 +163,12 @@ def test_top_k_room(spark):
         scores = np.clip(np.round(m @ m[i], 6), -1, 1)
         want = np.lexsort((ids, -scores))[:3]
         assert got[i][0].tolist() == want.tolist() and np.allclose(got[i][1], scores[want], atol=1e-6)
+
+
+def test_top_k_of_small_tenants_has_one_kind_of_worker(spark):
+    points = spark.createDataFrame([(i, i % 2, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(90)], "vec_id int, kb int, embedding array<float>").localCheckpoint()
+    questions = points.where("vec_id % 20 = 0").selectExpr("vec_id as question_id", "kb", "embedding as qvec")
+    df = retrieval.top_k(points, questions, 4, "kb")
+    assert df.count() == 20
+    # counts of large tenants take no rows from Python
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
